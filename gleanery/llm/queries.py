@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import bestfit_packing, exact_dedup, quality_rules, secret_scan, simhash_dedup, source_mixing, sstable
+from gleanery.llm import bestfit_packing, chat_format, exact_dedup, html_extract, license_scan, quality_rules, secret_scan, simhash_dedup, source_mixing, sstable
 from gleanery.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_report(table(spark, sf_dir, "conversations"))
+
+
 def op6_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.shard_report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -42,7 +54,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_exact_dedup, op4_quality_rules, op6_sstable_shards, op7_simhash_dedup, op9_bestfit_packing, op10_source_mixing)}
+    made = (
+        op1_license_scan, op2_secret_scan, op3_exact_dedup, op4_quality_rules, op5_chat_format,
+        op6_sstable_shards, op7_simhash_dedup, op8_html_extract, op9_bestfit_packing, op10_source_mixing,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
