@@ -60,3 +60,8 @@ def pending(wanted: DataFrame, done: DataFrame, key: str = "qid") -> DataFrame:
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def item_hits(items: DataFrame) -> DataFrame:
+    """Ranked items (qid, rank, hit): number of hits and the first one's rank (0 without any)."""
+    return items.groupBy("qid").agg(F.count_if("hit").alias("n_hit"), F.coalesce(F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0)).cast("bigint").alias("first_hit"))

@@ -136,3 +136,10 @@ def quota(blocks: DataFrame, by: str, special: Column, limit: int, reserve: int
     once = keep_first(rows, [by, "__cut"], "bucket", F.desc("score"), "id")
     n = F.row_number().over(Window.partitionBy(by).orderBy("bucket", F.desc("score"), "id"))
     return once.withColumn("place", n.cast("bigint")).where(F.col("place") <= limit).drop("__cut")
+
+
+def with_fallback(restricted: DataFrame, unrestricted: DataFrame, questions: DataFrame, least: int) -> DataFrame:
+    """Hits (qid, ...) of the restricted search, or of the other for questions with fewer than ``least``."""
+    n = restricted.groupBy("qid").agg(F.count("*").alias("n"))
+    few = questions.join(n, "qid", "left").where(F.coalesce("n", F.lit(0)) < least).select("qid")
+    return restricted.join(few, "qid", "left_anti").unionByName(unrestricted.join(few, "qid", "left_semi"))
