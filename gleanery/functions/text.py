@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +20,11 @@ _FRONT_MATTER = ["董事长致辞", "行长致辞", "致股东", "致股东的
 _SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -93,10 +98,13 @@ def _runs(chars: Column, n: int) -> Column:
 
 
 def simple_tokens(text: Column) -> Column:
-    """Words and numbers, then 2- and 3-grams over the Chinese characters."""
-    t = F.lower(normalize_text(text))
-    han = F.regexp_replace(t, rf"[^{CJK}]+", "")
-    return F.concat(find_all(t, TOKEN_PATTERN), _runs(han, 2), _runs(han, 3))
+    """Words and numbers, then 2- and 3-grams over the Chinese characters.
+
+    Of the normalising steps only the one that joins words matters here: byte order marks go.
+    """
+    t = F.lower(F.translate(F.coalesce(text, F.lit("")), "﻿", ""))
+    grams = let(F.regexp_replace(t, rf"[^{CJK}]+", ""), lambda han: F.concat(_runs(han, 2), _runs(han, 3)))
+    return F.concat(find_all(t, TOKEN_PATTERN), F.when(t.rlike(f"[{CJK}]"), grams).otherwise(F.array().cast("array<string>")))
 
 
 def card_tokens(text: Column) -> Column:
@@ -130,11 +138,15 @@ def expand_aliases(text: Column, metrics: dict[str, list[str]]) -> Column:
 def proxy_terms(text: Column, domain: Column, terms: dict[str, list[str]], stop: list[str], most: int = 30) -> Column:
     """Years, quantities, Latin words, domain terms and Chinese spans (or their 4- and 3-grams); each once, the first ``most``."""
     raw = F.coalesce(text, F.lit(""))
-    hay = F.regexp_replace(raw, f"{_SPACE}+", "")
     none = F.array().cast("array<string>")
-    own = none
-    for d, words in terms.items():
-        own = F.when(domain == d, F.array_compact(F.array(*(F.when(hay.contains(w.replace(" ", "")), F.lit(w)) for w in words)))).otherwise(own)
+
+    def own_terms(hay: Column) -> Column:
+        own = none
+        for d, words in terms.items():
+            own = F.when(domain == d, F.array_compact(F.array(*(F.when(hay.contains(w.replace(" ", "")), F.lit(w)) for w in words)))).otherwise(own)
+        return own
+
+    own = let(F.regexp_replace(raw, f"{_SPACE}+", ""), own_terms)
     spans = find_all(raw, rf"[{CJK}]{{2,}}")
     allowed = lambda x: ~x.isin(stop)
     grams = F.flatten(F.transform(spans, lambda s: F.when((F.length(s) <= 8) & allowed(s), F.array(s)).otherwise(F.filter(F.concat(_runs(s, 4), _runs(s, 3)), allowed))))
@@ -144,10 +156,13 @@ def proxy_terms(text: Column, domain: Column, terms: dict[str, list[str]], stop:
 
 def proxy_coverage(terms: Column, evidence: Column) -> tuple[Column, Column]:
     """(share of terms in the evidence, whether every term with a digit is)."""
-    hay = F.regexp_replace(F.coalesce(evidence, F.lit("")), f"{_SPACE}+", "")
-    inside = lambda t: hay.contains(F.regexp_replace(t, f"{_SPACE}+", ""))
-    share = F.when(F.size(terms) > 0, F.size(F.filter(terms, inside)) / F.size(terms)).otherwise(0.0)
-    return share, F.forall(F.filter(terms, lambda t: t.rlike("[0-9]")), inside)
+    both = F.struct(terms.alias("terms"), F.regexp_replace(F.coalesce(evidence, F.lit("")), f"{_SPACE}+", "").alias("hay"))
+
+    def held(x: Column) -> Callable[[Column], Column]:
+        return lambda t: x["hay"].contains(F.regexp_replace(t, f"{_SPACE}+", ""))
+
+    share = let(both, lambda x: F.when(F.size(x["terms"]) > 0, F.size(F.filter(x["terms"], held(x))) / F.size(x["terms"])).otherwise(0.0))
+    return share, let(both, lambda x: F.forall(F.filter(x["terms"], lambda t: t.rlike("[0-9]")), held(x)))
 
 
 def safe_name(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as T
 from gleanery.operators.bm25 import top_k
 from gleanery.operators.segmentation import keep_first
+from gleanery.session import is_small
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -21,15 +22,10 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Best vectors (id, vec) for each query (qid, qvec) by cosine. Queries are a small stated set: every
     vector is compared with each of them, in one pass over the vectors."""
-    pairs = vectors.join(F.broadcast(queries), F.lit(True)) if _small(queries) else vectors.crossJoin(queries)
+    pairs = vectors.join(F.broadcast(queries), F.lit(True)) if is_small(queries) else vectors.crossJoin(queries)
     return top_k(pairs.select("qid", "id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("score")).where("score > 0"), ["qid"], k, "id")
 
 
-def _small(df: DataFrame, most: int = 10_000) -> bool:
-    """Whether a table has few rows, found by looking at no more than that."""
-    return df.limit(most + 1).count() <= most
-
-
 def reciprocal_ranks(rankings: DataFrame, by: list[str], constant: int = 60) -> DataFrame:
     """Sum over lists of 1 / (constant + rank), ranks from 1."""
     return rankings.groupBy(*by).agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score"))
@@ -63,7 +59,7 @@ def route_documents(plans: DataFrame, cards: DataFrame, most: int = 3) -> DataFr
     names = F.exists("companies", lambda c: F.col("company_text").contains(c)).cast("int") * 10
     year = F.array_contains("years", F.col("year").cast("string")).cast("int") * 5
     metric = F.size(F.filter("metrics", lambda m: F.col("text").contains(m)))
-    scored = cards.crossJoin(F.broadcast(plans) if _small(plans) else plans).withColumn("score", (names + F.coalesce(year, F.lit(0)) + metric).cast("bigint"))
+    scored = cards.crossJoin(F.broadcast(plans) if is_small(plans) else plans).withColumn("score", (names + F.coalesce(year, F.lit(0)) + metric).cast("bigint"))
     best = F.max("score").over(Window.partitionBy("qid"))
     ranked = top_k(scored.withColumn("best", best), ["qid"], 1 << 40, "doc_id")
     return ranked.where(((F.col("best") > 0) & (F.col("score") > 0) & (F.col("rank") <= most)) | (F.col("best") == 0)).select("qid", "doc_id", "score", "rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.session import table
+from gleanery.session import spread, table
 
 #: A short line that ends with a point opens a section in Latin texts.
 LATIN_HEADER = r"^[^ ]+( [^ ]+){0,2}\.$"
@@ -35,7 +35,7 @@ options AS (
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
     return docs.select("doc_id", F.col("lang").alias("domain"), F.posexplode(F.split("text", "\n", -1)).alias("ord", "line")).withColumn("ord", F.col("ord").cast("bigint"))
 
 

@@ -44,3 +44,19 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read through Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """A small input that lies in a few files dealt to all cores; a large one as it is.
+
+    Files of one row group are one task however many cores there are. Above ``most_bytes`` per core
+    the input has enough splits of its own, and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < most_bytes * cores else df
+
+
+def is_small(df: DataFrame, most_rows: int = 10_000) -> bool:
+    """Whether a table has few rows, found by looking at no more than that."""
+    return df.limit(most_rows + 1).count() <= most_rows

@@ -1,28 +1,56 @@
-"""Tables written once and read by several branches of a plan."""
+"""Tables written once and read by several branches of a plan, and where they lie."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
 _own: list[str] = []
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a local folder only where it is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the cluster names none (tests on one machine) a folder is made here.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="gleanery-"))
+        spark.sparkContext.setCheckpointDir(_own[0])
     return _own[0]
 
 
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_sweep)
+    _made.append((spark, path))
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _sweep() -> None:
+    for spark, path in _made:
+        try:
+            drop_path(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
+            return
+
+
+def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    path = scratch_path(spark, name)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
