@@ -2,66 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.sources.scratch import drop_path, scratch_path, shared_dir  # noqa: F401
+from gleanery.sources.scratch import materialise as stash  # noqa: F401
+
 #: Deleted from a text before words are told apart: space, tab, \n, \v, \f, \r.
 WHITE = b" \t\n\x0b\x0c\r"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (tests on one machine) a folder is made here.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not getattr(shared_dir, "own", None):
-        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="gleanery-")
-        spark.sparkContext.setCheckpointDir(shared_dir.own)
-    return shared_dir.own
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_sweep)
-    _made.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
-            return
-
-
-def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def text_of(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
