@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import simple_tokens
-from gleanery.session import spread
 from gleanery.sources.scratch import materialise
 
 K1, B = 1.5, 0.75
@@ -30,9 +29,14 @@ class Index:
 
 
 def build_index(docs: DataFrame, id: str, text: str, scope: Column | None = None, tokens: Callable[[Column], Column] = simple_tokens) -> Index:
-    """Tokenise once and keep the postings; documents without terms count in N and average length."""
-    held = spread(docs).select((F.lit(0) if scope is None else scope).alias("scope"), F.col(id).alias("id"), tokens(F.col(text)).alias("tokens"))
-    rows = held.select("scope", "id", F.size("tokens").cast("bigint").alias("dl"), F.explode_outer("tokens").alias("term"))
+    """Tokenise once and keep the postings; documents without terms count in N and average length.
+
+    Texts are dealt by id first: terms are then counted, and lengths gathered, without another shuffle of
+    postings, which outweigh the texts.
+    """
+    held = docs.select((F.lit(0) if scope is None else scope).alias("scope"), F.col(id).alias("id"), F.col(text).alias("text")).repartition("id")
+    counted = held.select("scope", "id", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
+    rows = counted.select("scope", "id", "dl", F.explode_outer("tokens").alias("term"))
     postings = materialise(rows.groupBy("scope", "id", "term", "dl").agg(F.count("term").alias("tf")), "postings")
     sizes = postings.select("scope", "id", "dl").distinct()
     stats = sizes.groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
