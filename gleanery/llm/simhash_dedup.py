@@ -202,6 +202,10 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is their component's smallest, with all their columns."""
+    """The documents whose id is their component's smallest, with all their columns.
+
+    Rows that share an id stay or go together; rows without an id can't be told apart and all stay.
+    """
     stays = near_duplicates(docs, key, text).groupBy("component_id").agg(F.count("*").alias("__n")).select(F.col("component_id").alias("__keep"))
-    return docs.join(stays, F.col(key) == F.col("__keep"), "left_semi")
+    named = docs.join(stays, F.col(key) == F.col("__keep"), "left_semi")
+    return named.unionByName(docs.where(F.col(key).isNull()))
