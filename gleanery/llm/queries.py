@@ -63,4 +63,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL form (hash functions, trained models, tokens); tests compare them with brute force."""
-    return {"op3_exact_dedup": sql.OP3, "op5_chat_format": sql.OP5, "op8_html_extract": sql.OP8, "op10_source_mixing": sql.OP10}
+    rules = [(r.kind, r.pattern, r.group, r.least) for r in secret_scan.RULES]
+    return {"op2_secret_scan": sql.op2(rules, len(secret_scan.BASE_RULES)), "op3_exact_dedup": sql.OP3, "op5_chat_format": sql.OP5, "op8_html_extract": sql.OP8, "op10_source_mixing": sql.OP10}

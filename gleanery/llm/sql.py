@@ -43,3 +43,28 @@ r AS (SELECT s.*, row_number() OVER (PARTITION BY source ORDER BY size, doc_id)
 SELECT doc_id, size, source_size, target, ((off + k * each_) // 16777216 - (off + (k - 1) * each_) // 16777216) * size AS taken
 FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source
 """
+
+
+def op2(rules: list[tuple[str, str, int, int]], base: int) -> str:
+    """SQL of the secret scan for rules (kind, pattern, group, least), of which the first ``base`` are base kinds.
+
+    Positions come from what lies between matches: splitting at a pattern and extracting it see the same matches.
+    """
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS k, '{kind}' AS kind, {least} AS least, string_split_regex(text, $re${pattern}$re$) AS parts, "
+        f"regexp_extract_all(text, $re${pattern}$re$) AS hits, regexp_extract_all(text, $re${pattern}$re$, {group}) AS inner_ FROM t"
+        for k, (kind, pattern, group, least) in enumerate(rules)
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, *_ in rules[:base])
+    said = "string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, k, b)"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({found}),
+m AS (SELECT doc_id, k, kind, least, hits[u.i] AS hit, inner_[u.i] AS inner_,
+    list_sum(list_transform(parts[1 : u.i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1 : u.i - 1], lambda x: length(x))), 0) AS a
+  FROM f, unnest(range(1, len(hits) + 1)) AS u(i)),
+s AS (SELECT doc_id, k, kind, CAST(a AS BIGINT) AS a, CAST(a + length(hit) AS BIGINT) AS b FROM m WHERE length(inner_) >= least),
+g AS (SELECT doc_id, {counts}, {said} FILTER (k < {base}) AS said, {said} AS spans FROM s GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in rules[:base])}, sha256(coalesce(said, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g ON g.doc_id = t.doc_id
+"""
