@@ -64,4 +64,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL form (hash functions, trained models, tokens); tests compare them with brute force."""
     rules = [(r.kind, r.pattern, r.group, r.least) for r in secret_scan.RULES]
-    return {"op2_secret_scan": sql.op2(rules, len(secret_scan.BASE_RULES)), "op3_exact_dedup": sql.OP3, "op5_chat_format": sql.OP5, "op8_html_extract": sql.OP8, "op10_source_mixing": sql.OP10}
+    notices = {f: [[g for g in license_scan.grams(t) if " " in g] for t in texts] for f, texts in license_scan.NOTICES.items()}
+    op1 = sql.op1(license_scan.trained_model(), notices, license_scan.GATE, license_scan.WORD, license_scan.CONFIRM)
+    return {"op1_license_scan": op1, "op2_secret_scan": sql.op2(rules, len(secret_scan.BASE_RULES)), "op3_exact_dedup": sql.OP3, "op5_chat_format": sql.OP5, "op8_html_extract": sql.OP8, "op10_source_mixing": sql.OP10}
