@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import simple_tokens
@@ -27,6 +27,15 @@ class Index:
     def frequencies(self) -> DataFrame:
         return self.postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
 
+    def save(self, folder: str) -> None:
+        """Postings and statistics as tables: nothing is tokenised again when they are read."""
+        self.postings.write.mode("overwrite").parquet(f"{folder}/postings")
+        self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> "Index":
+        return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"))
+
 
 def build_index(docs: DataFrame, id: str, text: str, scope: Column | None = None, tokens: Callable[[Column], Column] = simple_tokens) -> Index:
     """Tokenise once and keep the postings; documents without terms count in N and average length.

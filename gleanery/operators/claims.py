@@ -82,14 +82,18 @@ def aggregate_answers(claims: DataFrame) -> DataFrame:
 
 
 def reflect(claims: DataFrame, calls: DataFrame, most_calls: int = 12) -> DataFrame:
-    """Actions of the second round for claims (qid, answer_format, option, status, confidence, risky) and the
-    log of calls so far (qid, tool, option): (qid, tool, option, place).
-
-    Rules: multi without a supported option searches the three weakest mixed ones again; multi with one
-    supported searches the others unless they are surely contradicted; mcq with several supported looks for
-    counter-evidence; options that stay unclear, or hold risky words, get their own search. Each (tool,
-    option) once; all within what is left of ``most_calls``.
+    """Actions of the second round for claims (qid, answer_format, option, status, confidence, risky, and perhaps
+    measured: has a metric query; entities: array of names) and the log of calls so far (qid, tool, option):
+    (qid, tool, option, entity, place).
+
+    Rules: multi without a supported option searches the three weakest mixed ones again, with one supported
+    the others unless they are surely contradicted, by option, metric and entity; mcq with several supported
+    looks for counter-evidence; options that stay unclear get their own searches, those with risky words
+    counter-evidence once. Each (tool, option, entity) once; all within what is left of ``most_calls``.
     """
+    for name, other in (("measured", F.lit(False)), ("entities", F.array().cast("array<string>"))):
+        if name not in claims.columns:
+            claims = claims.withColumn(name, other)
     c = claims.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("option")))
     per = Window.partitionBy("qid")
     c = c.withColumn("supported", F.sum((F.col("status") == "supported").cast("int")).over(per)).withColumn("open", F.sum((F.col("status") == "mixed").cast("int")).over(per))
@@ -106,18 +110,26 @@ def reflect(claims: DataFrame, calls: DataFrame, most_calls: int = 12) -> DataFr
     counter = ~skip & F.col("risky")
     done = calls.where("tool = 'counter_search'").select("qid", "option", F.lit(True).alias("countered")).distinct()
     c = c.join(done, ["qid", "option"], "left").withColumn("countered", F.coalesce("countered", F.lit(False)))
-    order = lambda phase, step: F.struct(F.lit(phase).alias("p"), F.col("rank").alias("r"), F.lit(step).alias("s"))
-    wanted = F.array_compact(F.array(
-        F.when(none | single, F.struct(F.lit("option_search").alias("tool"), order(0, 0).alias("at"))),
-        F.when(several, F.struct(F.lit("counter_search").alias("tool"), order(0, 1).alias("at"))),
-        F.when(unclear, F.struct(F.lit("option_search").alias("tool"), order(1, 0).alias("at"))),
-        F.when(counter & ~F.col("countered"), F.struct(F.lit("counter_search").alias("tool"), order(1, 1).alias("at"))),
-    ))
-    rows = c.select("qid", "option", F.explode(wanted).alias("w")).groupBy("qid", "option", "w.tool").agg(F.min("w.at").alias("at"))
+
+    def action(when: Column, tool: str, phase: int, step: int) -> Column:
+        at = F.struct(F.lit(phase).alias("p"), F.col("rank").alias("r"), F.lit(step).alias("s"), F.lit(0).alias("i"))
+        return F.when(when, F.array(F.struct(F.lit(tool).alias("tool"), F.lit("").alias("entity"), at.alias("at"))))
+
+    def each_entity(when: Column, phase: int) -> Column:
+        at = lambda i: F.struct(F.lit(phase).alias("p"), F.col("rank").alias("r"), F.lit(2).alias("s"), (i + 1).alias("i"))
+        return F.when(when, F.transform("entities", lambda e, i: F.struct(F.lit("option_search").alias("tool"), e.alias("entity"), at(i).alias("at"))))
+
+    wanted = F.flatten(F.array_compact(F.array(
+        action(none | single, "option_search", 0, 0), action((none | single) & F.col("measured"), "metric_search", 0, 1), each_entity(single, 0),
+        action(several, "counter_search", 0, 3),
+        action(unclear, "option_search", 1, 0), action(unclear & F.col("measured"), "metric_search", 1, 1), each_entity(unclear, 1),
+        action(counter & ~F.col("countered"), "counter_search", 1, 3),
+    )))
+    rows = c.select("qid", "option", F.explode(wanted).alias("w")).groupBy("qid", "option", "w.tool", "w.entity").agg(F.min("w.at").alias("at"))
     used = calls.groupBy("qid").agg(F.count("*").alias("used"))
     n = F.row_number().over(Window.partitionBy("qid").orderBy("at"))
     left = F.greatest(F.lit(0), F.lit(most_calls) - F.coalesce("used", F.lit(0)))
-    return rows.withColumn("place", n.cast("bigint")).join(used, "qid", "left").where(F.col("place") <= left).select("qid", "tool", "option", "place")
+    return rows.withColumn("place", n.cast("bigint")).join(used, "qid", "left").where(F.col("place") <= left).select("qid", "tool", "option", "entity", "place")
 
 
 def majority(votes: DataFrame) -> DataFrame:

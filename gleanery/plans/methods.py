@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions.answers import normalize_answer
-from gleanery.operators import bm25, claims, retrieval
+from gleanery.functions.vocab import Vocabulary
+from gleanery.operators import bm25, claims, retrieval, scoring
 from gleanery.operators import segmentation as S
 from gleanery.plans.models import ask, or_default
 from gleanery.sources.scratch import materialise
@@ -160,6 +161,32 @@ def claim_workflow(questions: DataFrame, units: DataFrame, method: Method, clien
     return claims.aggregate_answers(last)
 
 
+def route_sections(questions: DataFrame, units: DataFrame, sections: DataFrame, vocabulary: Vocabulary, client=None, candidates: int = 40, most: int = 5, most_multi: int = 10) -> DataFrame:
+    """Sections (qid, doc_id, section_id, path, place) to search for each question.
+
+    Candidates are sections hit by the stem or an option, by best score plus routing boost plus 1.1 per further
+    query; a model may put the first ``candidates`` in order, else (or if it names none) the local order counts.
+    """
+    from gleanery.functions.answers import parse_selected
+
+    found = hits(questions, units, METHODS["m07"].with_overrides(stem_k=candidates, option_k=candidates)).join(units.select("unit_id", "section_id"), "unit_id")
+    per = found.groupBy("qid", "doc_id", "section_id", "label").agg(F.max("score").alias("score"))
+    named = per.join(sections.select("section_id", "section_path"), "section_id").join(questions.select("qid", "question", "domain", "answer_format"), "qid")
+    boost = scoring.routing_boost(F.col("question"), F.col("section_path"), F.col("section_path"), F.col("domain"), vocabulary)
+    merged = retrieval.merge_hits(named.withColumn("score", F.col("score") + boost), ["qid", "answer_format", "doc_id", "section_id", "section_path"], 1.1)
+    best = bm25.top_k(merged, ["qid"], candidates, "doc_id", "section_id").select("qid", "answer_format", "doc_id", "section_id", F.col("section_path").alias("path"), F.col("rank").alias("place"))
+    limit = F.when(F.col("answer_format") == "multi", most_multi).otherwise(most)
+    if client is None:
+        return best.where(F.col("place") <= limit).drop("answer_format")
+    listed = materialise(best, "route-candidates")
+    lines = listed.groupBy("qid").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: F.concat(x["place"].cast("string"), F.lit(". "), x["path"])), "\n").alias("body"))
+    said = materialise(ask(lines.join(questions.select("qid", "question"), "qid").select("qid", "n", F.concat_ws("\n", "question", "body", F.lit("Name sections as <<<n>>>.")).alias("prompt")), client), "route-answers")
+    chosen = said.select("qid", F.posexplode(parse_selected(F.col("raw_answer"), F.col("n"))).alias("i", "place"))
+    picked = listed.join(chosen, ["qid", "place"]).withColumn("place", (F.col("i") + 1).cast("bigint")).drop("i")
+    rest = listed.join(chosen.select("qid").distinct(), "qid", "left_anti")
+    return picked.unionByName(rest).where(F.col("place") <= limit).drop("answer_format")
+
+
 #: Methods by name, for callers that add their own.
 REGISTRY: dict[str, Method] = dict(METHODS)
 

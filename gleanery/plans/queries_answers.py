@@ -152,24 +152,32 @@ def aggregate_tf(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {I.CLAIMS_CTE}, calls AS (SELECT doc_id // 4 AS qid, 'counter_search' AS tool, substr('ABCD', CAST(doc_id % 4 + 1 AS INT), 1) AS option FROM documents WHERE doc_id % 5 = 0
   UNION ALL SELECT doc_id // 4, 'option_search', 'A' FROM documents, range(11) WHERE doc_id % 40 = 0),
-c AS (SELECT *, row_number() OVER w AS rank, sum(CASE WHEN status = 'supported' THEN 1 ELSE 0 END) OVER p AS supported, sum(CASE WHEN status = 'mixed' THEN 1 ELSE 0 END) OVER p AS open FROM claims WINDOW w AS (PARTITION BY qid ORDER BY option), p AS (PARTITION BY qid)),
+c AS (SELECT *, length(text) % 3 = 0 AS doc_measured, row_number() OVER w AS rank, sum(CASE WHEN status = 'supported' THEN 1 ELSE 0 END) OVER p AS supported, sum(CASE WHEN status = 'mixed' THEN 1 ELSE 0 END) OVER p AS open FROM claims WINDOW w AS (PARTITION BY qid ORDER BY option), p AS (PARTITION BY qid)),
 c2 AS (SELECT *, status = 'mixed' AND confidence < 0.4 AS low, CASE WHEN open > 0 THEN status = 'mixed' ELSE status = 'contradicted' END AS cand FROM c),
 c3 AS (SELECT *, sum(CAST(low AS INT)) OVER w AS low_n, sum(CAST(cand AS INT)) OVER w AS cand_n, (status = 'contradicted' AND confidence > 0.85) OR (status = 'supported' AND confidence > 0.8 AND NOT risky) AS skip,
   EXISTS (SELECT 1 FROM calls k WHERE k.tool = 'counter_search' AND k.qid = c2.qid AND k.option = c2.option) AS countered FROM c2 WINDOW w AS (PARTITION BY qid ORDER BY option)),
+x AS (SELECT *, doc_measured AS measured, answer_format = 'multi' AND supported = 0 AND low AND low_n <= 3 AS none_, answer_format = 'multi' AND supported = 1 AND cand AND cand_n <= 3 AND NOT (status = 'contradicted' AND confidence >= 0.92) AS single,
+  NOT skip AND status = 'mixed' AND confidence < 0.5 AS unclear FROM c3),
 a AS (
-  SELECT qid, option, 'option_search' AS tool, 0 AS p, rank, 0 AS s FROM c3 WHERE answer_format = 'multi' AND ((supported = 0 AND low AND low_n <= 3) OR (supported = 1 AND cand AND cand_n <= 3 AND NOT (status = 'contradicted' AND confidence >= 0.92)))
-  UNION ALL SELECT qid, option, 'counter_search', 0, rank, 1 FROM c3 WHERE answer_format = 'mcq' AND supported > 1 AND status = 'supported'
-  UNION ALL SELECT qid, option, 'option_search', 1, rank, 0 FROM c3 WHERE NOT skip AND status = 'mixed' AND confidence < 0.5
-  UNION ALL SELECT qid, option, 'counter_search', 1, rank, 1 FROM c3 WHERE NOT skip AND risky AND NOT countered),
-o AS (SELECT *, row_number() OVER (PARTITION BY qid, option, tool ORDER BY p, rank, s) AS k FROM a),
-n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p, rank, s) AS place FROM o WHERE k = 1)
-SELECT n.qid, n.tool, n.option, n.place FROM n LEFT JOIN (SELECT qid, count(*) AS used FROM calls GROUP BY qid) u USING (qid) WHERE place <= greatest(0, 12 - coalesce(used, 0))""")
+  SELECT qid, option, 'option_search' AS tool, '' AS entity, 0 AS p, rank, 0 AS s, 0 AS i FROM x WHERE none_ OR single
+  UNION ALL SELECT qid, option, 'metric_search', '', 0, rank, 1, 0 FROM x WHERE (none_ OR single) AND measured
+  UNION ALL SELECT qid, option, 'option_search', e.name, 0, rank, 2, e.i FROM x, (VALUES ('d1', 1), ('d2', 2)) AS e(name, i) WHERE single AND measured
+  UNION ALL SELECT qid, option, 'counter_search', '', 0, rank, 3, 0 FROM x WHERE answer_format = 'mcq' AND supported > 1 AND status = 'supported'
+  UNION ALL SELECT qid, option, 'option_search', '', 1, rank, 0, 0 FROM x WHERE unclear
+  UNION ALL SELECT qid, option, 'metric_search', '', 1, rank, 1, 0 FROM x WHERE unclear AND measured
+  UNION ALL SELECT qid, option, 'option_search', e.name, 1, rank, 2, e.i FROM x, (VALUES ('d1', 1), ('d2', 2)) AS e(name, i) WHERE unclear AND measured
+  UNION ALL SELECT qid, option, 'counter_search', '', 1, rank, 3, 0 FROM x WHERE NOT skip AND risky AND NOT countered),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid, option, tool, entity ORDER BY p, rank, s, i) AS k FROM a),
+n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p, rank, s, i) AS place FROM o WHERE k = 1)
+SELECT n.qid, n.tool, n.option, n.entity, n.place FROM n LEFT JOIN (SELECT qid, count(*) AS used FROM calls GROUP BY qid) u USING (qid) WHERE place <= greatest(0, 12 - coalesce(used, 0))""")
 def reflect_actions(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.expr("doc_id div 4").alias("qid"))
     option = F.substring(F.lit("ABCD"), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1))
     some = docs.where("doc_id % 5 = 0").select("qid", F.lit("counter_search").alias("tool"), option.alias("option"))
     many = docs.where("doc_id % 40 = 0").select("qid", F.lit("option_search").alias("tool"), F.lit("A").alias("option"), F.explode(F.sequence(F.lit(0), F.lit(10)))).drop("col")
-    return C.reflect(I.claims(spark, d), some.unionByName(many))
+    measured = F.length("text") % 3 == 0
+    entities = F.when(measured, F.array(F.lit("d1"), F.lit("d2"))).otherwise(F.array().cast("array<string>"))
+    return C.reflect(I.claims(spark, d).withColumn("measured", measured).withColumn("entities", entities), some.unionByName(many))
 
 
 @query(f"""WITH {I.Q_CTE}

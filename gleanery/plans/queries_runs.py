@@ -64,3 +64,13 @@ def extension_hourly_windows(spark: SparkSession, d: str) -> DataFrame:
     from gleanery.streaming.events import hourly
 
     return hourly(table(spark, d, "events")).select(F.col("window.start").alias("hour"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+@query()
+def section_router(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates in the order of a stub model that names sections 2 and 1 of every question's list."""
+    from gleanery.functions.vocab import LATIN
+    from gleanery.plans.methods import route_sections
+
+    questions, units = asked(spark, d)
+    return route_sections(questions, units, I.sections(units), LATIN, lambda prompt: ("<<<2>>> <<<1>>>", 1, 1))

@@ -79,6 +79,15 @@ def strip_markup(html: Column) -> Column:
     return html
 
 
+#: Where the content of a page may lie, in order of preference.
+CONTENT = (r'(?s)<div[^>]*class="[^"]*\bdetail-news\b[^"]*"[^>]*>(.*?)</div>', r'(?s)<div[^>]*class="[^"]*\bcontent\b[^"]*"[^>]*>(.*?)</div>', r'(?s)<div[^>]*class="[^"]*\barticle\b[^"]*"[^>]*>(.*?)</div>', r'(?s)<div[^>]*id="content"[^>]*>(.*?)</div>', r"(?s)<article[^>]*>(.*?)</article>", r"(?s)<body[^>]*>(.*?)</body>")
+
+
+def content_of(html: Column) -> Column:
+    """The first content container of a page, or the whole page."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in CONTENT), html)
+
+
 def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, seq, line): lines of pages that hold text, markup taken out."""
     lines = pages.select(key, F.posexplode(F.split(strip_markup(F.col(html)), "\n", -1)).alias("i", "line")).withColumn("line", F.trim("line")).where("line != ''")
@@ -126,6 +135,12 @@ def page_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("ord", (F.row_number().over(order) - 1).cast("bigint"))
 
 
+def clear_cache(spark: SparkSession, folder: str, domain: str) -> bool:
+    """Remove a domain's partition of a block cache; whether there was one."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/domain={domain}")
+    return bool(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True))
+
+
 def to_parse(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     """Documents (doc_id, domain) whose blocks aren't in the cache yet."""
     return wanted.join(cached.select("doc_id", "domain").distinct(), ["doc_id", "domain"], "left_anti")
