@@ -133,3 +133,27 @@ def test_streams(spark, tmp_path):
     assert sorted(r["qid"] for r in spark.read.parquet(str(tmp_path / "res")).collect()) == ["res_1", "res_2"]
     events = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 20) AS ts, 'x' AS event_type, 1.0D AS value, id % 2 AS user_id FROM range(10)")
     assert hourly(events).count() == 4 and sessions(events, "50 minutes").count() == 2
+
+
+def test_index_is_kept(spark, units, tmp_path):
+    from gleanery.operators import bm25
+
+    index = bm25.build_index(units, "unit_id", "text")
+    index.save(str(tmp_path / "ix"))
+    again = bm25.Index.load(spark, str(tmp_path / "ix"))
+    terms = bm25.query_terms(spark.createDataFrame([("q", "alpha gamma gamma")], "qid string, t string"), "qid", "t")
+    shown = lambda x: sorted((r["id"], round(r["score"], 6)) for r in bm25.bm25_scores(x, terms, "qid").collect())
+    assert shown(index) == shown(again) and [i for i, _ in shown(index)] == ["d1:0", "d2:0"]
+
+
+def test_cache(spark, tmp_path):
+    blocks = spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, domain string")
+    W.write_tables({"blocks": blocks}, str(tmp_path))
+    assert R.to_parse(blocks, spark.read.parquet(str(tmp_path / "blocks"))).count() == 0
+    assert R.clear_cache(spark, str(tmp_path / "blocks"), "x") and not R.clear_cache(spark, str(tmp_path / "blocks"), "z")
+    assert [r["doc_id"] for r in R.to_parse(blocks, spark.read.parquet(str(tmp_path / "blocks"))).collect()] == ["a"]
+
+
+def test_content_of(spark):
+    pages = spark.createDataFrame([('<body><div class="x content">a</div><article>b</article></body>',), ("<article>b</article>",), ("plain",)], "h string")
+    assert [r[0] for r in pages.select(R.content_of(F.col("h"))).collect()] == ["a", "b", "plain"]
