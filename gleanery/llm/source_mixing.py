@@ -35,6 +35,7 @@ TOTAL = 1.5
 MOST_COPIES = 2
 UNIT = 1 << 24
 SEED = 42
+MOST_BROADCAST = 100_000
 
 
 def sizes(docs: DataFrame, text: str = "text") -> F.Column:
@@ -83,33 +84,30 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     columns = [F.col(key).alias("key"), F.col(source).alias("src"), sizes(docs, text).alias("size")]
     if carry:
         columns.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    # Ranges are drawn once: the table fixes which row is in which range.
-    ranged = docs.select(*columns).repartitionByRange(F.col("src").asc_nulls_last(), "size", "key")
-    placed = stash(ranged.withColumn("part", F.spark_partition_id()), "mixing")
-    per = placed.groupBy("src", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    # Ranges are drawn once: the table fixes which row is in which range, and where. In a sorted range the
+    # identifier counts rows, so no window is needed and the documents are shuffled only here.
+    order = (F.col("src").asc_nulls_last(), F.col("size"), F.col("key"))
+    ranged = docs.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stash(ranged.withColumn("pos", F.monotonically_increasing_id()), "mixing").withColumn("part", F.shiftright("pos", 33))
+    per = placed.groupBy("src", "part").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.sum("size").alias("words"))
     totals = [(r["src"], r["words"]) for r in per.groupBy("src").agg(F.sum("words").alias("words")).collect()]
     plan = targets(totals, weights, total, seed=seed)
-    shape = StructType([StructField("src", StringType()), StructField("source_size", LongType()), StructField("target", DoubleType()), StructField("each", LongType()), StructField("offset", LongType())])
+    shape = StructType([StructField("of", StringType()), StructField("source_size", LongType()), StructField("target", DoubleType()), StructField("each", LongType()), StructField("offset", LongType())])
     # Rows before each range, within its source: a window over ranges, not over documents.
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = per.select("src", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranges = _with_plan(ranges, spark.createDataFrame(plan, shape))
-    within = Window.partitionBy("part", "src").orderBy("size", "key")
-    ranked = placed.withColumn("rank", F.row_number().over(within).cast("bigint"))
-    joined = ranked.alias("d").join(ranges.alias("r"), (F.col("d.part") == F.col("r.part")) & F.col("d.src").eqNullSafe(F.col("r.src")))
+    starts = per.select(F.col("src").alias("r_src"), F.col("part").alias("r_part"), "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = starts.join(spark.createDataFrame(plan, shape), F.col("r_src").eqNullSafe(F.col("of"))).drop("of")
+    # One row per range and source in it. Few are broadcast; beyond MOST_BROADCAST rows (some 100 bytes each) they are not.
+    if starts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        starts = F.broadcast(starts)
+    joined = placed.join(starts, (F.col("part") == F.col("r_part")) & F.col("src").eqNullSafe(F.col("r_src"))).withColumn("rank", F.col("pos") - F.col("first") + 1)
     copies = F.expr(f"((offset + (before + rank) * each) div {UNIT}) - ((offset + (before + rank - 1) * each) div {UNIT})")
     return joined.select(
-        F.col("key").alias(key), F.col("d.src").alias("source"), "size", "source_size", "target", copies.alias("copies"),
+        F.col("key").alias(key), F.col("src").alias("source"), "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).alias("taken"), *(["row"] if carry else []),
     )
 
 
-def _with_plan(ranges: DataFrame, plan: DataFrame) -> DataFrame:
-    """Ranges with their source's plan; the plan has one row per source."""
-    p = plan.withColumnRenamed("src", "of")
-    return ranges.join(p, F.col("src").eqNullSafe(F.col("of"))).drop("of")
-
-
 def mixing_report(docs: DataFrame) -> DataFrame:
     """The columns of query ``op10_source_mixing``."""
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
