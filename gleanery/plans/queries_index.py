@@ -112,7 +112,7 @@ def two_level_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _cosine_sql(k: int) -> str:
     return f"""
-q AS (SELECT vec_id AS qid, embedding AS qvec FROM embeddings WHERE vec_id % 50 = 0),
+q AS (SELECT vec_id AS qid, embedding AS qvec FROM embeddings WHERE vec_id % 100 = 0),
 pairs AS (SELECT qid, vec_id AS id, round(list_sum(list_transform(list_zip(qvec, embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))
   / (sqrt(list_sum(list_transform(qvec, lambda v: v::DOUBLE * v::DOUBLE))) * sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)))), 6) AS score FROM q, embeddings),
 dense AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM pairs WHERE score > 0) WHERE rank <= {k})"""
@@ -120,7 +120,7 @@ dense AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY
 
 def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    asked = vectors.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     return retrieval.dense_top_k(asked, vectors, k)
 
 
@@ -130,13 +130,13 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_cosine_sql(10)},
-other AS (SELECT * FROM (SELECT q.vec_id AS qid, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id) AS rank FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 50 = 0) WHERE rank <= 10)
+other AS (SELECT * FROM (SELECT q.vec_id AS qid, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.vec_id) AS rank FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 100 = 0) WHERE rank <= 10)
 SELECT qid, id, score, rank FROM (SELECT qid, id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, id) AS rank FROM (
   SELECT qid, id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM (SELECT qid, id, rank FROM dense UNION ALL SELECT * FROM other) GROUP BY qid, id)) WHERE rank <= 8""")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Dense ranking fused with the ranking of vectors of the same label."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("qid"), "label")
+    asked = vectors.where("id % 100 = 0").select(F.col("id").alias("qid"), "label")
     other = bm25.top_k(asked.join(vectors, "label").withColumn("score", -F.col("id")), ["qid"], 10, "id").select("qid", "id", "rank")
     both = _dense(spark, d, 10).select("qid", "id", "rank").unionByName(other)
     fused = retrieval.reciprocal_ranks(both, ["qid", "id"]).withColumn("score", F.round("score", 6))
@@ -235,15 +235,14 @@ def doc_routing(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.route_documents(plans, cards)
 
 
-@query(rf"""WITH q AS (SELECT item_id AS qid, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+\.?[0-9]*')))[1:5] AS nums FROM benchmark),
-q2 AS (SELECT doc_id AS qid, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+\.?[0-9]*')))[1:5] AS nums FROM documents WHERE doc_id % 50 = 22),
+@query(rf"""WITH q2 AS (SELECT doc_id AS qid, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+\.?[0-9]*')))[1:5] AS nums FROM documents WHERE doc_id % 100 = 0),
 ch AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+\.?[0-9]*')) AS nums FROM documents),
 h AS (SELECT q.qid, c.doc_id, q.number, row_number() OVER (PARTITION BY q.qid, q.number ORDER BY c.doc_id) AS n
   FROM (SELECT qid, unnest(nums) AS number FROM q2) q JOIN (SELECT doc_id, unnest(nums) AS number FROM ch) c USING (number))
 SELECT qid, doc_id, 0::BIGINT AS chunk_id, number, 1.0::DOUBLE AS score FROM h WHERE n <= 2""")
 def number_lookup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.lit(0).cast("bigint").alias("chunk_id"), T.numbers(F.col("text"), (r"[0-9]+\.?[0-9]*",)).alias("numbers"))
-    asked = docs.where("doc_id % 50 = 22").select(F.col("doc_id").alias("qid"), "numbers")
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), "numbers")
     return retrieval.number_hits(asked, docs)
 
 

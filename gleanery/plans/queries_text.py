@@ -104,19 +104,19 @@ def fulltext_rejoin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _levels_cte() -> str:
-    return I.LINES_CTE + ", h AS (SELECT doc_id, ord, 1 + ord % 3 AS level, substr(line, 1, 2) AS title FROM lines WHERE length(line) < 60)"
+    return I.LINES_CTE + ", h AS (SELECT doc_id, ord, 1 + ord % 3 AS level, line AS title FROM lines WHERE length(line) < 60)"
 
 
 @query()
 def section_path(spark: SparkSession, d: str) -> DataFrame:
     """A fold with two early ways out: checked against a Python stack in the tests."""
-    rows = I.lines(spark, d).where(F.length("line") < 60).select("doc_id", "ord", (1 + F.col("ord") % 3).alias("level"), F.substring("line", 1, 2).alias("title"))
+    rows = I.lines(spark, d).where(F.length("line") < 60).select("doc_id", "ord", (1 + F.col("ord") % 3).alias("level"), F.col("line").alias("title"))
     return S.section_tree(rows, "doc_id")
 
 
 @query(f"""WITH {_levels_cte()} SELECT doc_id, title AS path, min(level) AS level, min(ord) AS start_page, max(ord) AS end_page, substr(md5(concat_ws('|', doc_id, title)), 1, 10) AS section_id FROM h GROUP BY doc_id, title""")
 def section_spans(spark: SparkSession, d: str) -> DataFrame:
-    rows = I.lines(spark, d).where(F.length("line") < 60).select("doc_id", "ord", (1 + F.col("ord") % 3).alias("level"), F.substring("line", 1, 2).alias("path"))
+    rows = I.lines(spark, d).where(F.length("line") < 60).select("doc_id", "ord", (1 + F.col("ord") % 3).alias("level"), F.col("line").alias("path"))
     return S.section_spans(rows, "doc_id")
 
 
@@ -246,10 +246,10 @@ def format_options(spark: SparkSession, d: str) -> DataFrame:
     return I.questions(spark, d).select("qid", T.format_options(F.col("options")).alias("options"))
 
 
-@query(f"""WITH {I.UNITS_CTE} SELECT unit_id, concat_ws(chr(10), CASE WHEN domain <> '' THEN concat('domain: ', domain) END, CASE WHEN section_id <> '' THEN concat('section: ', section_id) END, CASE WHEN text <> '' THEN concat('text: ', substr(text, 1, 90)) END) AS block,
+@query(f"""WITH {I.UNITS_CTE} SELECT unit_id, concat_ws(chr(10), CASE WHEN domain <> '' THEN concat('domain: ', domain) END, CASE WHEN section_id <> '' THEN concat('section: ', section_id) END, CASE WHEN text <> '' THEN concat('text: ', substr(text, 1, 900)) END) AS block,
   concat_ws('::', doc_id, CASE WHEN unit_type = 'text' THEN substr(md5(text), 1, 16) ELSE unit_id END) AS evidence_id FROM units""")
 def evidence_rendering(spark: SparkSession, d: str) -> DataFrame:
-    block = T.render_fields([("domain", F.col("domain")), ("section", F.col("section_id")), ("text", F.col("text"))], {"text": 90})
+    block = T.render_fields([("domain", F.col("domain")), ("section", F.col("section_id")), ("text", F.col("text"))], {"text": 900})
     key = T.evidence_id(F.col("doc_id").cast("string"), F.when(F.col("unit_type") != "text", F.col("unit_id")), otherwise=F.col("text"))
     return I.units(spark, d).select("unit_id", block.alias("block"), key.alias("evidence_id"))
 
