@@ -40,7 +40,7 @@ from gleanery.llm.shared import WHITE, batches_of, stash, text_of
 from gleanery.session import ship_package
 
 #: Bytes of record contents that one table may hold before it spills.
-MEMORY_BUDGET = 96 << 20
+MEMORY_BUDGET = 64 << 20
 FAN_OUT = 16
 _HEAD = struct.Struct("<QqqqqII")
 
@@ -195,7 +195,6 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     reps = parts.where("row is null").select("rep", "id", "length", "size", "code", "content").repartition("code")
 
     def meet(batches):
-
         def records():
             for batch in batches_of(batches):
                 for rep, id_, length, size, code, content in zip(*(batch.column(i).to_pylist() for i in range(6))):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.shared import WHITE_CHARS, batches_of, text_of
+from gleanery.llm.shared import WHITE_CHARS, batches_of, take_cache, text_of
 from gleanery.session import ship_package
 
 BUCKETS = 1 << 16
@@ -47,7 +47,7 @@ class _Codes(dict):
     """A number for each word, remembered up to a bound on memory."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = code = zlib.crc32(word.lower().translate(_DIGITS))
         return code
@@ -60,6 +60,7 @@ def ngram_buckets(words: list[bytes], buckets: int = BUCKETS) -> np.ndarray:
     """Buckets of the 1-grams, then of the 2-grams."""
     if not words:
         return np.zeros(0, np.int64)
+    take_cache("quality", _codes.clear)
     one = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
     two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     both = np.concatenate((one * np.uint64(0xD6E8FEB86659FD93), two * np.uint64(0xD6E8FEB86659FD93)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -19,8 +19,19 @@ def text_of(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_owner: list = [None, None]
+
+
+def take_cache(name: str, clear: Callable[[], None]) -> None:
+    """Say that this worker now runs operator ``name``: what another one had remembered is dropped."""
+    if _owner[0] != name:
+        if _owner[1]:
+            _owner[1]()
+        _owner[:] = [name, clear]
+
+
 def batches_of(batches: Iterable[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that one holds about ``max_bytes`` (one row at least)."""
+    """Cut Arrow batches so that one holds about ``max_bytes`` (one row at least); give unused memory back."""
     for batch in batches:
         rows = batch.num_rows
         if not rows:
@@ -28,3 +39,5 @@ def batches_of(batches: Iterable[pa.RecordBatch], max_bytes: int = 4 << 20) -> I
         step = max(1, min(rows, rows * max_bytes // max(1, batch.nbytes)))
         for at in range(0, rows, step):
             yield batch.slice(at, step)
+        del batch
+        pa.default_memory_pool().release_unused()

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from gleanery.llm.shared import take_cache
+
 #: Production tokenizer file; a parameter of every operator that encodes.
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
@@ -36,7 +38,7 @@ def tokenizer_path(name_or_path: str = DEFAULT_TOKENIZER) -> str:
 class PieceEncoder:
     """Ids of texts; at most ``keep`` pieces are remembered (a bound on memory, not on texts)."""
 
-    def __init__(self, path: str, keep: int = 900_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(tokenizer_path(path))
@@ -136,4 +138,5 @@ def encoder(path: str) -> PieceEncoder:
     """One encoder for each worker process and tokenizer file."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
+    take_cache(f"encoder {path}", _encoders[path].known.clear)
     return _encoders[path]
