@@ -2,9 +2,9 @@
 
 A page is cut into text blocks at every tag that isn't inline. A block has its number of
 words, its link density (share of words inside links), those of the blocks before and after
-it, whether it is a heading, and two hints from its containers: whether one of them is
-named as boilerplate (``nav``, ``footer``, ``class="ad"`` ...) and whether one is named as
-main content (``article``, ``main`` ...). The tree is grown by information gain from
+it, whether it is a heading, whether nearly all of the page is named as boilerplate, and two
+hints from its containers: whether one of them is named as boilerplate (``nav``, ``footer``,
+``class="ad"`` ...) and whether one is named as main content (``article``, ``main`` ...). The tree is grown by information gain from
 :data:`LABELLED`, a small table of labelled blocks, when first needed.
 
 Never shown: comments of the markup, scripts, styles, templates, form controls and hidden
@@ -49,6 +49,8 @@ _BOILER_NAMES = frozenset(
 )
 _MAIN_NAMES = frozenset("article main content post entry story maincontent articlebody postbody entrycontent".split())
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+#: ``has-sidebar``, ``no-ads``: these name what is beside the container, not the container.
+_BESIDE = re.compile(r"(?i)(?<![a-z0-9])(?:has|with|without|no)[-_]+[a-z0-9_-]+")
 
 
 @dataclass
@@ -75,6 +77,7 @@ def _hints(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 boiler = True
             elif name in ("class", "id", "role"):
+                value = _BESIDE.sub(" ", value)
                 names = {x.lower() for x in _NAME.findall(value)} | {x.lower() for x in value.split()}
                 boiler |= bool(names & _BOILER_NAMES)
                 main |= bool(names & _MAIN_NAMES)
@@ -155,9 +158,11 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-#: Labelled blocks of eighteen small pages, a page a line. A block is container (b: named as
+#: Labelled blocks of small pages, a page a line. A block is container (b: named as
 #: boilerplate, m: named as main content, p: neither), words, words in links, heading (h or -),
-#: and + if it is main text.
+#: and + if it is main text. After the first eighteen come pages whose containers are missing,
+#: misleading (all of the text in one named as boilerplate) or mixed (lists of links inside
+#: main content; notices and comments beside plain text).
 LABELLED = """
 b1/1- b1/1- b1/1- b8/0- m9/0h+ m9/0-+ m120/0-+ m4/0-+ m80/3-+ m1/0-+ b7/0-
 b2/2- b2/2- b3/3- m6/0h+ m45/2-+ m210/0-+ m3/0-+ m12/12-+ m66/1-+ b12/0- b4/4-
@@ -177,15 +182,68 @@ b8/8- b10/0- b120/0- b35/0- m10/0h+ m66/0-+ m70/0-+ b90/0- b110/0- b44/1- b3/3-
 b2/2- m4/0h+ m16/16-+ m13/1-+ b50/0- m58/0-+ m24/0-+ b200/0- b150/0-
 p1/0- p2/2- p8/0h+ p110/0-+ p34/0-+ p9/0-+ p57/0-+ p6/0- p2/2- p1/1-
 b3/0- m5/0-+ m14/0-+ b2/2- m250/30-+ m7/0-+ b6/1- b70/0-
+p2/2- p1/1- b25/0- p8/0h+ p64/1-+ p90/3-+ p3/0-+ p70/0-+ b40/0- b18/0- b6/2-
+b1/1- b1/1- b31/0- p6/0h+ p44/0-+ p2/0-+ p58/2-+ p1/0-+ p105/0-+ b22/0- b9/9-
+b45/3- p2/2- p9/0h+ p71/0-+ p4/0-+ p38/0-+ b65/0- b80/2- b54/0- p3/3- b14/0-
+p1/1- p1/1- p5/0h+ p83/5-+ b16/0- p47/0-+ p6/0-+ p92/0-+ b28/0- p6/0-
+b3/3- b2/2- p10/0h+ p29/0-+ p51/0-+ p36/0-+ b12/0- b33/0- b120/0- b7/7-
+b2/2- b1/1- b9/0h+ b85/2-+ b120/3-+ b64/0-+ b7/0-+ b90/1-+ b3/3- b5/4- b4/0-
+b1/1- b3/3- b6/0h+ b48/0-+ b73/6-+ b5/0-+ b132/0-+ b56/0-+ b2/2- b2/2- b9/2-
+b4/4- b2/2- b7/0h+ b110/0-+ b39/1-+ b95/0-+ b3/0-+ b61/0-+ b6/6- b8/5- b3/0-
+b1/1- m7/0h+ m62/0-+ m3/3- m5/5- m4/4- m77/2-+ m2/0-+ m54/0-+ b20/0-
+b2/2- m5/0h+ m88/4-+ m41/0-+ m6/6- m8/8- m5/5- m7/7- b35/0- b3/3-
+m9/0h+ m2/2- m2/2- m3/3- m120/0-+ m1/0-+ m18/18-+ m66/0-+ m4/4- m6/6- b9/0-
+b1/1- m6/0h+ m34/0-+ m11/11-+ m52/3-+ m4/4- m4/4- m3/3- b60/0-
+b5/5- m1/0h+ m1/0-+ m1/0-+ b6/0- b16/0-
+b1/1- b1/1- b6/0- m3/0h+ m2/0-+ b24/0- b90/0- b16/0-
+p3/3- p2/2- p11/0h+ p67/0-+ p4/4- p5/5- p6/6- p58/1-+ p2/0-+ p74/0-+ p4/4- p2/0-
+p2/2- p2/2- p4/0h+ p99/0-+ p14/14-+ p87/2-+ p1/0-+ p63/0-+ p5/0- p3/3-
+b1/1- b2/2- m6/0h+ m31/0-+ m70/2-+ m2/0-+
+b2/2- b12/0- p6/0h+ p9/0-+ p22/0-+ p4/0-+ p11/0-+ p8/0-+ p31/0-+ p12/0-+ p6/0-+ p14/0-+ p3/0-+ p17/0-+ p5/0-+ b19/0-
+b1/1- b2/2- p4/0h+ p13/1-+ p7/0-+ p1/0-+ p5/0-+ p26/0-+ p19/0-+ p2/0-+ p15/0-+ p20/0-+ p6/0-+ p11/0-+ b13/0- b2/2-
+p2/2- p3/3- p8/0h+ p16/0-+ p5/0-+ p10/0-+ p23/2-+ p7/0-+ p12/0-+ p4/0-+ p18/0-+ p9/0-+ p41/0-+ p2/2- p3/3-
+b1/1- b1/1- b9/0- p3/0h+ p2/0-+ p3/0-+ p14/0-+ p1/0-+ p2/0-+ p33/0-+ p6/0-+ p3/0-+ p9/0-+ p1/0-+ p5/0-+ p2/0-+ p48/0-+ p2/0-+ p7/0-+ b15/0-
+b2/2- b7/0- p9/0h+ p8/0-+ p1/0-+ p1/0-+ p3/0-+ p24/0-+ p2/0-+ p4/0-+ p3/0-+ p11/0-+ p1/0-+ p17/0-+ p3/0-+ p10/0-+ p3/0-+ b18/0-
+b1/1- b2/2- b8/0h+ b37/0-+ b52/0-+ b24/1-+ b3/3-
+b5/5- b2/2- b3/0h+ b28/0-+ b6/0-+ b81/4-+ b19/0-+ b1/1- b1/1-
+b1/1- b5/0h+ b43/2-+ b15/0-+ b66/0-+ b2/2- b1/1-
+b1/1- m4/0h+ m80/0-+ m26/1-+ p9/0-
+m5/0h+ m30/0-+ p2/0-
+m8/0-+ p1/0-
+b2/2- m3/0h+ m17/0-+ m44/0-+ p6/0- p4/0-
+p9/0h+ p41/0-+
+p6/0h+ p35/0-+ p120/3-+
+b1/1- b2/2- p8/0h+ p74/2-+ p33/0-+ p28/0-+
+p5/0h+ p62/0-+ p25/0-+ p57/0-+
+b3/3- p4/0h+ p96/5-+
+m5/0h+ m20/3-+ m4/0-+
+b1/1- m4/0h+ m33/2-+ m9/0-+
+b2/2- b1/1- m7/0h+ m12/3-+ m28/0-+
+p7/0h+ p44/3-+ p31/0-+
+b1/1- b8/0- p5/0h+ p6/0-+ p2/0-+ p7/0-+ p1/0-+ p3/0-+ p3/0-+ p9/0-+ p2/0-+ p1/0-+ p8/0-+ p3/0-+ p4/0-+ p2/0-+ p12/0-+ p1/0-+ p6/0-+ b17/0-
+b2/2- b6/0- p2/0h+ p3/0-+ p1/0-+ p10/0-+ p2/0-+ p5/0-+ p3/0-+ p2/0-+ p1/0-+ p7/0-+ p3/0-+ p9/0-+ p2/0-+ p4/0-+ p1/0-+ p8/0-+ b21/0-
+m5/0h+ m30/0-+ m14/14-+ m9/0-+
+m6/0h+ m51/2-+ m4/4- m5/5- m3/0-+
+b1/1- m4/0h+ m27/0-+ m5/5- m40/0-+
+m1/0-+
+m3/0-+
+m4/0h+ m12/0-+ m1/0-+
+b3/3- b2/2- p9/0h+ p48/0-+ p66/1-+ p27/0-+
+p2/2- p1/1- p7/0h+ p59/2-+ p5/0-+ p83/0-+
+b2/2- m5/0h+ m6/2-+ m40/1-+ m8/3-+ m3/1-+ m4/4- m5/5- m64/0-+ m5/2-+ b11/0-
+m4/0h+ m7/2-+ m9/4-+ m6/6- m7/7- m3/3- m12/5-+ m4/1-+ b3/3- b30/0-
+p5/0- p3/3- p3/3- p7/0h+ p55/0-+ p46/4-+ p3/0-+ p68/0-+ p9/9- p8/8- p7/0-
 """
 _ROW = re.compile(r"([bmp])(\d+)/(\d+)([h-])(\+?)")
-FEATURES = ("boiler", "main", "page_has_main", "heading", "words", "density", "words_before", "density_before", "words_after", "density_after")
+FEATURES = ("boiler", "main", "page_has_main", "heading", "words", "density", "words_before", "density_before", "words_after", "density_after", "misnamed")
 
 
 def features(blocks: list[Block]) -> list[tuple[float, ...]]:
     has_main = float(any(b.main and not b.boiler for b in blocks))
     sides = [(0, 0.0), *((b.words, b.density) for b in blocks), (0, 0.0)]
-    return [(float(b.boiler), float(b.main and not b.boiler), has_main, float(b.heading), *sides[i + 1], *sides[i], *sides[i + 2]) for i, b in enumerate(blocks)]
+    # Next to no words outside boilerplate: a container of the whole text must be misnamed.
+    misnamed = float(10 * sum(b.words for b in blocks if not b.boiler) <= sum(b.words for b in blocks))
+    return [(float(b.boiler), float(b.main and not b.boiler), has_main, float(b.heading), *sides[i + 1], *sides[i], *sides[i + 2], misnamed) for i, b in enumerate(blocks)]
 
 
 def labelled_rows() -> list[tuple[tuple[float, ...], bool]]:

@@ -46,3 +46,39 @@ def test_odd_tables(spark):
     got = sorted((r["page_id"] or 0, r["text"]) for r in H.extract_pages(pages).collect())
     assert got == [(0, "hi"), (1, ""), (1, "")]
     assert H.extract_pages(pages.limit(0)).count() == 0
+
+
+#: Pages without a container that is rightly named as main, and an article with a list of links.
+HELD_OUT = (
+    """<body><div class="nav"><a href=/>Home</a><p><a href=/x>All news</a></div><div class="cookie-bar">We use cookies and similar tools on this site so that
+it works as it should, and by reading on you agree to their use here</div><h1>A walk along the river</h1><p>The path begins at the old mill and follows the water
+for about four miles before it climbs into the woods above the town.</p><p>Bring water.</p><p>Beyond the second bridge the ground is wet in spring, and good boots
+are needed until the path turns away from the bank.</p><div class="newsletter">Get our letters every week with walks, maps and offers from shops nearby</div>
+<footer>Written and kept by volunteers since 1990</footer></body>""",
+    """<div class="topbar"><a href=/>Start</a></div><article class="post has-sidebar"><h2>Bread at home</h2><p>Flour, water and salt are mixed in the evening and left alone
+until the dough has doubled, which takes about twelve hours in a cool room.</p><p>Wait.</p><p>In the morning it is folded, shaped and baked in a hot pot.</p></article>
+<div class="comments"><p>I tried this twice with rye flour and it never rose at all, so what did I do wrong with the yeast here?</p></div>""",
+    """<nav><a href=/>Start</a></nav><div class="sidebar-layout"><h1>The clock tower</h1><p>It was built from local stone over three summers and paid for by the guild of
+weavers, whose sign is still above the door.</p><p>The bell came later and was cast in the town across the valley by two brothers.</p>
+<p>Visitors may climb to the top on the first day of each month if the weather is fair.</p></div><div class="footer"><a href=/i>Imprint</a></div>""",
+    """<main><h1>Tides</h1><p>The sea rises and falls twice a day because the moon pulls at the water on the side that faces it.</p><div><a href=/1>Five boats to buy</a></div>
+<div><a href=/2>Cheap sails</a></div><div><a href=/3>Win a trip</a></div><p>See <a href=/m>moon</a> for more.</p><p>Short days.</p></main>""",
+    """<h1>Snow</h1><p>Snow fell through the night and by dawn the lane was closed.</p><p>The plough came at noon, and two hours later the first cars went down the
+hill again, one behind the other, slowly and with their lamps lit.</p>""",
+)
+
+
+def test_held_out_pages():
+    kept = [[b.text.split()[0] for b, row in zip(blocks, H.features(blocks)) if H.is_content(H.trained_tree(), row)] for blocks in map(H.blocks_of, HELD_OUT)]
+    assert kept == [["A", "The", "Bring", "Beyond"], ["Bread", "Flour,", "Wait.", "In"], ["The", "It", "The", "Visitors"], ["Tides", "The", "See", "Short"], ["Snow", "Snow", "The"]]
+
+
+def test_features_in_use():
+    def used(tree):
+        # A split counts only if it decides something.
+        return set() if isinstance(tree, bool) or {*answers(tree)} != {True, False} else {H.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+    def answers(tree):
+        return [tree] if isinstance(tree, bool) else answers(tree[2]) + answers(tree[3])
+
+    assert {"boiler", "main", "density", "words", "words_after"} <= used(H.trained_tree())
