@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.session import spread, table
+from gleanery.session import is_small, spread, table
 
 #: A short line that ends with a point opens a section in Latin texts.
 LATIN_HEADER = r"^[^ ]+( [^ ]+){0,2}\.$"
@@ -17,6 +17,19 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("domain"), "source")
 
 
+def with_items(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (doc_id, ...) with ``query``, the text of the benchmark item that their document is dealt: items in the
+    order of their ids, one document after the other, so that each item has its share of the documents."""
+    n, least, most = items.agg(F.count("item_id"), F.min("item_id"), F.max("item_id")).first()
+    numbered = items.select("item_id", F.col("text").alias("query"))
+    if n and most - least + 1 == n == items.select("item_id").distinct().count():
+        numbered = numbered.withColumn("__item", F.col("item_id") - least)
+    else:  # ids with gaps
+        numbered = numbered.where("item_id is not null").withColumn("__item", F.row_number().over(Window.orderBy("item_id")).cast("bigint") - 1)
+    asked = numbered.select("__item", "query")
+    return rows.withColumn("__item", F.pmod("doc_id", F.lit(n or 1))).join(F.broadcast(asked) if is_small(asked) else asked, "__item").drop("__item")
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items with four options: the quarters of their words."""
     words = F.split("question", " ", -1)

@@ -325,9 +325,7 @@ PAIRS_CTE = I.UNITS_CTE + ", pairs AS (SELECT u.unit_id, u.unit_type AS kind, u.
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "benchmark").select(F.col("item_id"), F.col("text").alias("query"))
-    units = I.units(spark, d).withColumn("item_id", F.col("doc_id") % 40)
-    return units.join(asked, "item_id").select("unit_id", F.col("unit_type").alias("kind"), "domain", F.col("text").alias("hay"), "query", F.col("section_id").alias("path"))
+    return I.with_items(I.units(spark, d), table(spark, d, "benchmark")).select("unit_id", F.col("unit_type").alias("kind"), "domain", F.col("text").alias("hay"), "query", F.col("section_id").alias("path"))
 
 
 @query(f"""WITH {PAIRS_CTE} SELECT unit_id, round({_named_sql(3.0, LATIN.metrics)} + {YEARS_SQL} * 1.2::DOUBLE + {_named_sql(1.0, LATIN.companies)}
@@ -380,10 +378,9 @@ s AS (SELECT doc_id, ord, card_type, len(list_intersect(q, t)) AS shared, round(
   + CASE WHEN card_type = 'ListCard' AND contains(query, 'the') THEN 2.0::DOUBLE ELSE 0 END, 4) AS score FROM p)
 SELECT doc_id, ord, card_type, score FROM s WHERE shared > 0 AND score >= 4.0""")
 def domain_card_search(spark: SparkSession, d: str) -> DataFrame:
-    cards = S.domain_cards(I.units(spark, d), LATIN.card_patterns).withColumn("item_id", F.col("doc_id") % 40)
-    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    cards = S.domain_cards(I.units(spark, d), LATIN.card_patterns)
     score = scoring.card_score(F.col("query"), F.col("text"), F.col("card_type"), {"ListCard": ["the"]})
-    return cards.join(asked, "item_id").select("doc_id", "ord", "card_type", score.alias("score")).where("score >= 4.0")
+    return I.with_items(cards, table(spark, d, "benchmark")).select("doc_id", "ord", "card_type", score.alias("score")).where("score >= 4.0")
 
 
 @query("""SELECT label, vec_id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 3""")

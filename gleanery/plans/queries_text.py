@@ -11,7 +11,7 @@ from gleanery.operators import claims as C
 from gleanery.operators import segmentation as S
 from gleanery.plans import inputs as I
 from gleanery.plans.registry import query
-from gleanery.session import is_small, spread, table
+from gleanery.session import spread, table
 
 _S = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -223,8 +223,8 @@ cov AS (SELECT doc_id, lang, round(CASE WHEN len(terms) = 0 THEN 0 ELSE len(list
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
-    rows = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).withColumn("item_id", F.col("doc_id") % 40).join(F.broadcast(asked) if is_small(asked) else asked, "item_id")
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("hay")))
+    rows = I.with_items(docs, table(spark, d, "benchmark")).withColumnRenamed("hay", "text")
     share, ok = T.proxy_coverage(T.proxy_terms(F.col("query"), F.col("lang"), LATIN.proxy_terms, []), F.col("text"))
     return rows.select("doc_id", "lang", F.round(share, 4).alias("coverage"), ok.alias("numeric_ok"))
 
