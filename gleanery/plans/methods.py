@@ -13,15 +13,20 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions import planning as P
 from gleanery.functions import text as T
 from gleanery.functions.answers import normalize_answer
-from gleanery.functions.vocab import Vocabulary
+from gleanery.functions.vocab import CHINESE, Vocabulary
 from gleanery.operators import bm25, claims, retrieval, scoring
 from gleanery.operators import segmentation as S
 from gleanery.plans.models import ask, or_default
 from gleanery.sources.scratch import materialise
 
 
+#: Hits of a counter-evidence and of a metric query in the second round; option queries have twice the first round's.
+COUNTER_K, METRIC_K = 8, 10
+
+
 @dataclass(frozen=True)
 class Method:
     """Sizes of one method. ``dense`` fuses an embedding ranking; ``scope`` is what statistics cover."""
@@ -65,17 +70,24 @@ METHODS = {
 }
 
 
-def hits(questions: DataFrame, units: DataFrame, method: Method) -> DataFrame:
-    """(qid, label, unit_id, score) of every query of the method, within a question's documents."""
+def hits(questions: DataFrame, units: DataFrame, method: Method, table: DataFrame | None = None) -> DataFrame:
+    """(qid, label, unit_id, score) of every query of the method, within a question's documents.
+
+    ``table`` gives other queries (qid, label, query, topk), and perhaps ``only``, a document to look in.
+    """
     index = bm25.build_index(units, "unit_id", "text", scope=F.col(method.scope))
-    table = S.option_queries(questions, method.stem_k, method.option_k, method.stem)
-    if not method.options:
-        table = table.where("label = 'stem'")
-    terms = bm25.query_terms(table, "qid", "query", T.simple_tokens, "label", "topk")
-    scored = bm25.bm25_scores(index, terms, "qid", "label", "topk", okapi=method.okapi).withColumn("score", F.round("score", 4)).where("score > 0")
+    if table is None:
+        table = S.option_queries(questions, method.stem_k, method.option_k, method.stem)
+        if not method.options:
+            table = table.where("label = 'stem'")
+    more = ["label", "topk", *(c for c in table.columns if c == "only")]
+    terms = bm25.query_terms(table, "qid", "query", T.simple_tokens, *more)
+    scored = bm25.bm25_scores(index, terms, "qid", *more, okapi=method.okapi).withColumn("score", F.round("score", 4)).where("score > 0")
     placed = scored.join(units.select(F.col("unit_id").alias("id"), "doc_id"), "id")
     # Statistics stay those of the whole scope: documents are cut out after scoring.
     allowed = placed.join(questions.select("qid", "doc_ids"), "qid").where(F.expr("size(doc_ids) = 0 or array_contains(doc_ids, doc_id)"))
+    if "only" in more:
+        allowed = allowed.where("only is null or cast(doc_id as string) = only")
     return bm25.top_k(allowed, ["qid", "label"], F.col("topk"), "id").select("qid", "label", F.col("id").alias("unit_id"), "doc_id", "score")
 
 
@@ -130,17 +142,41 @@ def _named(df: DataFrame) -> DataFrame:
     return df.select("qid", "domain", "answer_format", "answer", "raw_answer", "evidence", "prompt_tokens", "completion_tokens")
 
 
-def claim_workflow(questions: DataFrame, units: DataFrame, method: Method, client, most_calls: int = 12) -> DataFrame:
+def with_leads(options: DataFrame, vocabulary: Vocabulary, entity_words: list[str] = P.MULTI_ENTITY) -> DataFrame:
+    """Options (qid, question, claim, doc_ids, ...) with what queries of the second round are made of: ``option_query``,
+    ``metric_query`` (null: no metric to ask for), ``counter_query`` and ``searches``, array of (entity, query)."""
+    company = F.get(T.named(F.concat_ws(" ", "claim", "question"), vocabulary.companies), F.lit(0))
+    year = F.coalesce(P.first_year(F.col("claim")), P.first_year(F.col("question")))
+    metrics = T.named(F.col("claim"), vocabulary.metrics)
+    return options.select(
+        "*", P.diversified_query(company, year, metrics, F.col("claim")).alias("option_query"), P.metric_query(company, year, metrics).alias("metric_query"),
+        claims.counter_text(F.col("claim"), vocabulary.negations).alias("counter_query"), P.entity_queries(F.col("question"), F.col("claim"), F.col("doc_ids"), entity_words).alias("searches"),
+    )
+
+
+def action_queries(leads: DataFrame, actions: DataFrame, method: Method) -> DataFrame:
+    """A query per action (qid, tool, option, entity): (qid, label, option, tool, query, topk, only)."""
+    rows = actions.join(leads.select("qid", "option", "doc_ids", "option_query", "metric_query", "counter_query", "searches"), ["qid", "option"])
+    own = F.get(F.filter("searches", lambda s: s["entity"] == F.col("entity")), F.lit(0))["query"]
+    query = F.when(F.col("tool") == "counter_search", F.col("counter_query")).when(F.col("tool") == "metric_search", F.col("metric_query")).when(F.col("entity") != "", own).otherwise(F.col("option_query"))
+    most = F.when(F.col("tool") == "counter_search", COUNTER_K).when(F.col("tool") == "metric_search", METRIC_K).otherwise(2 * method.option_k)
+    only = F.when(F.array_contains(F.col("doc_ids").cast("array<string>"), F.col("entity")), F.col("entity"))
+    return rows.select("qid", F.concat_ws("|", "option", "tool", "entity").alias("label"), "option", "tool", query.alias("query"), most.cast("bigint").alias("topk"), only.alias("only"))
+
+
+def claim_workflow(questions: DataFrame, units: DataFrame, method: Method, client, most_calls: int = 12, vocabulary: Vocabulary = CHINESE) -> DataFrame:
     """Claim by claim: retrieve per option, verify, reflect, retrieve again for the actions, verify, aggregate.
 
-    Two rounds, so the second is the same plan over the table of actions.
+    The second round runs each action's own query (option, metric, entity or counter-evidence) and adds what it finds to
+    the option's facts of the first; counter-evidence is named as such.
     """
     from gleanery.functions.answers import verdict
 
-    options = questions.select("qid", "answer_format", "question", F.explode("options").alias("option", "claim"))
+    options = questions.select("qid", "answer_format", "question", "doc_ids", F.explode("options").alias("option", "claim"))
     found = hits(questions, units, method).join(units.select("unit_id", "text"), "unit_id")
     pooled = found.withColumn("option", F.when(F.col("label").startswith("option_"), F.substring("label", 8, 1)))
     facts = pooled.join(options.select("qid", F.col("option").alias("o")), "qid").where("option is null or option = o").groupBy("qid", F.col("o").alias("option")).agg(F.array_join(F.slice(F.array_sort(F.collect_set("text")), 1, 20), "\n").alias("facts"))
+    facts = materialise(facts, "facts-1")
 
     def verify(rows: DataFrame, name: str) -> DataFrame:
         asked = rows.withColumn("prompt", F.concat_ws("\n", "facts", "question", "claim", F.lit("supported, contradicted or mixed?")))
@@ -151,12 +187,19 @@ def claim_workflow(questions: DataFrame, units: DataFrame, method: Method, clien
 
     first = verify(options.join(facts, ["qid", "option"], "left"), "verify-1")
     calls = first.select("qid", F.lit("option_search").alias("tool"), "option")
-    risky = first.withColumn("risky", F.col("claim").rlike("not|all|no |不|未|无|均|全部|所有|超过|低于"))
-    actions = materialise(claims.reflect(risky, calls, most_calls), "actions").select("qid", "option").distinct()
-    wide = method.with_overrides(option_k=2 * method.option_k)
-    more = hits(questions.join(actions.select("qid").distinct(), "qid", "left_semi"), units, wide).where("label <> 'stem'").join(units.select("unit_id", "text"), "unit_id")
-    again = more.groupBy("qid", F.substring("label", 8, 1).alias("option")).agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("facts"))
-    second = verify(options.join(actions, ["qid", "option"], "left_semi").join(again, ["qid", "option"], "left"), "verify-2")
+    leads = with_leads(options, vocabulary)
+    gaps = leads.select("qid", "option", F.col("metric_query").isNotNull().alias("measured"), F.transform("searches", lambda s: s["entity"]).alias("entities"))
+    risky = first.withColumn("risky", F.col("claim").rlike("not|all|no |不|未|无|均|全部|所有|超过|低于")).join(gaps, ["qid", "option"])
+    actions = materialise(claims.reflect(risky, calls, most_calls), "actions").select("qid", "tool", "option", "entity")
+    queries = action_queries(leads, actions, method)
+    more = hits(questions.join(actions.select("qid").distinct(), "qid", "left_semi"), units, method, queries.drop("option", "tool"))
+    new = more.join(queries.select("qid", "label", "option", "tool"), ["qid", "label"]).join(units.select("unit_id", "text"), "unit_id")
+    texts = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("text")))), "\n")
+    counter = F.col("tool") == "counter_search"
+    added = new.groupBy("qid", "option").agg(texts(~counter).alias("more"), texts(counter).alias("against"))
+    told = F.array_join(F.filter(F.array("facts", "more", F.when(F.col("against") != "", F.concat(F.lit("Counter-evidence:\n"), F.col("against")))), lambda x: F.coalesce(x, F.lit("")) != ""), "\n")
+    again = options.join(actions.select("qid", "option").distinct(), ["qid", "option"], "left_semi").join(facts, ["qid", "option"], "left").join(added, ["qid", "option"], "left")
+    second = verify(again.withColumn("facts", told).drop("more", "against"), "verify-2")
     last = first.join(second.select("qid", "option"), ["qid", "option"], "left_anti").unionByName(second)
     return claims.aggregate_answers(last)
 

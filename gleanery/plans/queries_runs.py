@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.functions.vocab import LATIN
 from gleanery.operators.retrieval import add_scores
 from gleanery.plans import inputs as I
 from gleanery.plans.methods import METHODS, answer_questions, claim_workflow
@@ -33,7 +34,7 @@ def method_voting(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def claim_workflow_stub(spark: SparkSession, d: str) -> DataFrame:
-    return claim_workflow(*asked(spark, d), METHODS["m06"], StubModel())
+    return claim_workflow(*asked(spark, d), METHODS["m06"], StubModel(), vocabulary=LATIN)
 
 
 @query("""SELECT n_name, CAST(count(*) AS BIGINT) AS n_orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
