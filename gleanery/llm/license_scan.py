@@ -1,14 +1,16 @@
 r"""Licence scan: a trained paragraph classifier, confirmed by template comparison.
 
-A paragraph is a line of a text. Paragraphs that name no licence word at all
-(:data:`ANCHORS`) are of no interest. The others are classified by multinomial logistic
+A paragraph is a line of a text. Paragraphs are classified by multinomial logistic
 regression over the word 1- and 2-grams they hold: one class per licence family and one for
 unknown. Weights are trained here, with an L1 penalty that keeps them sparse, on variations
 of the families' notices and on sentences that use the same words without licensing
 anything. Scores are divided by a temperature fitted on variations held out, and a family
 counts only from the probability at which held-out unknowns are rejected. A prediction is
 confirmed if its paragraph shares at least ``CONFIRM`` of the 2-grams of it or of one of the
-family's notices (whichever has fewer); otherwise it is unknown.
+family's notices (whichever has fewer); otherwise it is unknown. Reported are paragraphs that
+are confirmed, and those that name a licence word (:data:`ANCHORS`) and stay unknown. Only
+paragraphs that no family can be confirmed for are passed over unscored: those without any
+2-gram of a notice, then those that share too few with each of them.
 
 Training happens at the driver on the tables in this file (a few hundred rows, whatever the
 corpus). Scanning is DataFrame functions only: no shuffle, no Python on the executors.
@@ -105,7 +107,7 @@ OTHER: tuple[str, ...] = (
     "The public domain includes parks and roads.",
     "All seats are reserved for members.",
 )
-#: A paragraph is classified if it holds one of these as (the beginning of) a word.
+#: A paragraph is reported, confirmed or not, if it holds one of these as (the beginning of) a word.
 ANCHORS = ("licen", "gnu", "gpl", "lgpl", "agpl", "mpl", "bsd", "spdx", "copyright", "redistribut", "permission", "mozilla", "creative commons", "cc0", "cc by", "unencumbered", "all rights reserved", "proprietary", "public domain")
 GATE = r"(?i)(?:^|[^a-z0-9])(?:" + "|".join(ANCHORS) + ")"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -119,6 +121,28 @@ def grams(text: str) -> list[str]:
     return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
 
 
+def pair_pattern(pairs: list[str]) -> str:
+    """A pattern that every lower-case text whose 2-grams hold one of ``pairs`` matches.
+
+    A word begins at the start, after a character that is none of a word's, or right after the
+    digits behind a point (``2.0abc`` is two words); it ends before a character that is none of
+    a word's, or, with a point in it, before anything but a digit.
+    """
+    tree: dict[str, dict[str, list[str]]] = {}
+    for pair in sorted(set(pairs)):
+        first, second = pair.split(" ")
+        tree.setdefault(first[0], {}).setdefault(first, []).append(second)
+
+    def word(w: str) -> str:
+        return re.escape(w) + ("(?![0-9])" if "." in w else "(?![a-z0-9])")
+
+    def after(w: str, seconds: list[str]) -> str:
+        return re.escape(w[1:]) + "[^a-z0-9]" + ("*" if "." in w else "+") + "(?:" + "|".join(map(word, seconds)) + ")"
+
+    firsts = (re.escape(c) + "(?:" + "|".join(after(w, s) for w, s in words.items()) + ")" for c, words in tree.items())
+    return "(?:^|[^a-z0-9])[0-9]*(?:" + "|".join(firsts) + ")"
+
+
 def variations(text: str, rng: random.Random, times: int) -> list[str]:
     """The text with words lost, doubled or added around it."""
     filler = "the of and to in for on with as by from this that file project author holder code see notes below page data text".split()
@@ -217,12 +241,18 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", model:
 
     lines = F.split(text_of(text), "\n", -1)
     numbered = F.transform(lines, lambda line, i: F.struct(i.alias("paragraph"), line.alias("line")))
-    named = F.filter(numbered, lambda x: x["line"].rlike(GATE))
+    notices = {g: None for ts in NOTICES.values() for t in ts for g in grams(t) if " " in g}
+    able = pair_pattern(list(notices))
+    every = _literal([[g for g in grams(t) if " " in g] for ts in NOTICES.values() for t in ts], "array<array<string>>")
+    named = F.filter(numbered, lambda x: x["line"].rlike(GATE) | F.lower(x["line"]).rlike(able))
 
     def with_grams(x):
         words = F.regexp_extract_all(F.lower(x["line"]), F.lit(WORD), F.lit(0))
         pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-        return F.struct(x["paragraph"].alias("paragraph"), F.array_distinct(words).alias("words"), F.array_distinct(pairs).alias("pairs"))
+        return F.struct(x["paragraph"].alias("paragraph"), x["line"].rlike(GATE).alias("named"), F.array_distinct(words).alias("words"), F.array_distinct(pairs).alias("pairs"))
+
+    def likeness(pairs, t):
+        return F.size(F.array_intersect(pairs, t)) / F.greatest(F.lit(1), F.least(F.size(pairs), F.size(t)))
 
     def scored(x):
         held = F.concat(x["words"], x["pairs"])
@@ -230,34 +260,33 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", model:
         def score(k):
             return (F.lit(model.bias[k]) + F.aggregate(held, F.lit(0.0), lambda acc, g: acc + F.coalesce(F.try_element_at(weights[k], g), F.lit(0.0)))) / model.temperature
 
-        return F.struct(x["paragraph"].alias("paragraph"), x["pairs"].alias("pairs"), F.array(*map(score, range(n))).alias("z"))
+        return F.struct(x["paragraph"].alias("paragraph"), x["named"].alias("named"), x["pairs"].alias("pairs"), F.array(*map(score, range(n))).alias("z"))
 
     def chosen(x):
         top = F.array_max(x["z"])
         total = F.aggregate(x["z"], F.lit(0.0), lambda acc, z: acc + F.exp(z - top))
         first = F.array_position(x["z"], top).cast("int")
-        return F.struct(x["paragraph"].alias("paragraph"), x["pairs"].alias("pairs"), F.element_at(names, first).alias("family"), (1 / total).alias("p"))
+        return F.struct(x["paragraph"].alias("paragraph"), x["named"].alias("named"), x["pairs"].alias("pairs"), F.element_at(names, first).alias("family"), (1 / total).alias("p"))
 
     def compared(x):
-        def likeness(t):
-            return F.size(F.array_intersect(x["pairs"], t)) / F.greatest(F.lit(1), F.least(F.size(x["pairs"]), F.size(t)))
-
-        best = F.aggregate(F.transform(F.coalesce(F.try_element_at(templates, x["family"]), F.array().cast("array<array<string>>")), likeness), F.lit(0.0), lambda acc, v: F.greatest(acc, v))
-        return F.struct(x["paragraph"].alias("paragraph"), x["family"].alias("family"), x["p"].alias("p"), best.alias("similarity"))
+        best = F.aggregate(F.transform(F.coalesce(F.try_element_at(templates, x["family"]), F.array().cast("array<array<string>>")), lambda t: likeness(x["pairs"], t)), F.lit(0.0), lambda acc, v: F.greatest(acc, v))
+        return F.struct(x["paragraph"].alias("paragraph"), x["named"].alias("named"), x["family"].alias("family"), x["p"].alias("p"), best.alias("similarity"))
 
     def settled(x):
         ok = (x["family"] != UNKNOWN) & (x["p"] >= model.least) & (x["similarity"] >= CONFIRM)
         return F.struct(
             x["paragraph"].cast("bigint").alias("paragraph"), F.when(ok, x["family"]).otherwise(UNKNOWN).alias("family"),
-            F.round(x["p"], 4).alias("probability"), F.round(x["similarity"], 4).alias("similarity"), ok.alias("confirmed"),
+            F.round(x["p"], 4).alias("probability"), F.round(x["similarity"], 4).alias("similarity"), ok.alias("confirmed"), x["named"].alias("named"),
         )
 
-    found = named
-    for step in (with_grams, scored, chosen, compared, settled):
+    # A confirmed paragraph is like a notice of its family: one that is like none needs no score.
+    found = F.filter(F.transform(named, with_grams), lambda x: x["named"] | F.exists(every, lambda t: likeness(x["pairs"], t) >= CONFIRM))
+    for step in (scored, chosen, compared, settled):
         found = F.transform(found, step)
+    found = F.transform(F.filter(found, lambda x: x["named"] | x["confirmed"]), lambda x: x.dropFields("named"))
     kind = "array<struct<paragraph:bigint,family:string,probability:double,similarity:double,confirmed:boolean>>"
-    # Most texts name no licence word: nothing is split for them.
-    found = F.when(text_of(text).rlike(GATE), found).otherwise(F.array().cast(kind))
+    # Nothing is split for texts without a licence word or a notice's 2-gram.
+    found = F.when(text_of(text).rlike(GATE) | F.lower(text_of(text)).rlike(able), found).otherwise(F.array().cast(kind))
     return docs.select(key, F.size(lines).cast("bigint").alias("n_paragraphs"), found.alias("found"))
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from gleanery.llm import license_scan as L
 
@@ -40,3 +41,43 @@ def test_scores_match_the_model(spark):
 def test_plan_has_no_python(spark, docs):
     plan = L.license_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Join"))
+
+
+def plainly(text):
+    """(families, reported lines) with every line classified in plain Python."""
+    model = L.trained_model()
+    families, reported = set(), 0
+    for line in text.split("\n"):
+        p = model.probabilities(line)
+        family = model.families[int(p.argmax())]
+        pairs = {g for g in L.grams(line) if " " in g}
+        alike = [{g for g in L.grams(t) if " " in g} for t in L.NOTICES.get(family, ())]
+        likeness = max((len(pairs & t) / max(1, min(len(pairs), len(t))) for t in alike), default=0)
+        sure = family != L.UNKNOWN and p.max() >= model.least and likeness >= L.CONFIRM
+        families |= {family} if sure else set()
+        reported += sure or bool(re.search(L.GATE, line))
+    return ",".join(sorted(families)), reported
+
+
+def test_lines_without_a_licence_word(spark):
+    texts = ["Text under CC-BY-SA 4.0.", "CC-BY 4.0", "x\nReleased under the MIT terms\ny", "Creative  Commons Attribution 4.0 International", "CC-BY4.0 2.0cc by"]
+    rng = random.Random(5)
+    notices = [t for ts in L.NOTICES.values() for t in ts]
+    for t in notices * 4:
+        words = re.sub("(?i)licen[cs]ed?|gnu|permission|copyright|creative", "", t).split()
+        a = rng.randrange(len(words))
+        texts.append(rng.choice(["", "v2.0", "(", "see "]) + rng.choice([" ", "-", "  ", "/"]).join(words[a : a + rng.randrange(1, 12)]) + rng.choice(["", ".", "2", "\n"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["families"], r["n_named"]) for r in L.license_report(docs).collect()}
+    assert [got[0][0], got[1][0], got[2][0]] == ["cc-by-sa", "cc-by", "mit"]
+    assert got == {i: plainly(t) for i, t in enumerate(texts)}
+
+
+def test_pattern_is_necessary():
+    pairs = ["cc by", "by 4.0", "4.0 international", "v 2.0", "is free"]
+    pattern = re.compile(L.pair_pattern(pairs))
+    rng = random.Random(1)
+    for _ in range(5000):
+        text = "".join(rng.choice(["cc", "by", "4.0", "international", "v", "2.0", "is", "free", " ", "-", ".", "1", "x", "\u00e9", "\n"]) for _ in range(rng.randrange(2, 7)))
+        if set(pairs) & set(L.grams(text)):
+            assert pattern.search(text), text
