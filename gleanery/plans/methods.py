@@ -29,7 +29,7 @@ COUNTER_K, METRIC_K = 8, 10
 
 @dataclass(frozen=True)
 class Method:
-    """Sizes of one method. ``dense`` fuses an embedding ranking; ``scope`` is what statistics cover."""
+    """Sizes and steps of one method. ``scope`` is what statistics cover."""
 
     name: str
     stem_k: int = 10
@@ -46,6 +46,10 @@ class Method:
     votes: int = 1
     reflect: bool = True
     okapi: bool = False
+    boost: bool = False  # domain boost and word bonus on every hit's score
+    rescore: bool = False  # the best hits of each document scored again by structure, entities and domain words
+    routed: bool = False  # hits of chosen sections only, of all if those are fewer than ``least_routed``
+    least_routed: int = 6
 
     def with_overrides(self, **changes: object) -> "Method":
         return replace(self, **changes)
@@ -58,22 +62,23 @@ METHODS = {
         Method("m01", stem_k=5, option_k=2, final_k=40, siblings=0, evidence_chars=3000, scope="domain", reflect=False, okapi=True),
         Method("m02", stem_k=10, option_k=10, final_k=8, siblings=0, evidence_chars=6000, scope="domain", votes=3, okapi=True),
         Method("m03", full_text=True, stem_k=0, option_k=0, siblings=0, reflect=False),
-        Method("m04", stem_k=30, options=False, final_k=30, unit_chars=800),
-        Method("m05"),
-        Method("m05a", option_k=13, stem=False),
-        Method("m05b"),
-        Method("m05c", bonus=1.1),
-        Method("m06", stem_k=10, option_k=10),
-        Method("m07", stem_k=8, option_k=8, final_k=24, siblings=8, evidence_chars=44_000),
-        Method("m08"),
+        Method("m04", stem_k=30, options=False, final_k=30, unit_chars=800, boost=True),
+        Method("m05", boost=True),
+        Method("m05a", option_k=13, stem=False, boost=True),
+        Method("m05b", boost=True),
+        Method("m05c", bonus=1.1, boost=True),
+        Method("m06", stem_k=10, option_k=10, boost=True),
+        Method("m07", stem_k=8, option_k=8, final_k=24, siblings=8, evidence_chars=44_000, boost=True, routed=True),
+        Method("m08", boost=True, rescore=True),
     )
 }
 
 
-def hits(questions: DataFrame, units: DataFrame, method: Method, table: DataFrame | None = None) -> DataFrame:
+def hits(questions: DataFrame, units: DataFrame, method: Method, table: DataFrame | None = None, vocabulary: Vocabulary = CHINESE, sections: DataFrame | None = None) -> DataFrame:
     """(qid, label, unit_id, score) of every query of the method, within a question's documents.
 
-    ``table`` gives other queries (qid, label, query, topk), and perhaps ``only``, a document to look in.
+    ``table`` gives other queries (qid, label, query, topk), and perhaps ``only``, a document to look in;
+    ``sections`` (qid, section_id) those to keep of the best max(80, 30 k).
     """
     index = bm25.build_index(units, "unit_id", "text", scope=F.col(method.scope))
     if table is None:
@@ -88,16 +93,44 @@ def hits(questions: DataFrame, units: DataFrame, method: Method, table: DataFram
     allowed = placed.join(questions.select("qid", "doc_ids"), "qid").where(F.expr("size(doc_ids) = 0 or array_contains(doc_ids, doc_id)"))
     if "only" in more:
         allowed = allowed.where("only is null or cast(doc_id as string) = only")
+    if method.boost or method.rescore:
+        paths = units.groupBy("section_id").agg(F.min_by("text", "ord").alias("path"))
+        about = units.select(F.col("unit_id").alias("id"), "section_id", "text", "unit_type", "domain").join(paths, "section_id").drop("section_id")
+        allowed = allowed.join(about, "id").join(table.select("qid", "label", "query"), ["qid", "label"])
+    place = (F.col("query"), F.col("text"), F.lit(None).cast("string"), F.col("path"), F.col("unit_type"))
+    if method.boost:
+        allowed = allowed.withColumn("score", F.round(F.col("score") + scoring.domain_boost(*place, vocabulary) + scoring.word_bonus(F.col("query"), F.col("text")), 4))
+    if method.rescore:
+        allowed = bm25.top_k(allowed, ["qid", "label", "doc_id"], F.col("topk"), "id", rank="doc_rank")
+        allowed = allowed.withColumn("score", F.round(F.col("score") + scoring.hybrid_score(*place, F.col("domain"), vocabulary), 4))
+    if sections is not None:
+        wide = bm25.top_k(allowed, ["qid", "label"], F.greatest(F.lit(80), 30 * F.col("topk")), "id", rank="wide_rank")
+        inside = units.select(F.col("unit_id").alias("id"), "section_id")
+        allowed = wide.join(inside, "id").join(sections.select("qid", "section_id").distinct(), ["qid", "section_id"], "left_semi")
     return bm25.top_k(allowed, ["qid", "label"], F.col("topk"), "id").select("qid", "label", F.col("id").alias("unit_id"), "doc_id", "score")
 
 
-def evidence(questions: DataFrame, units: DataFrame, method: Method) -> DataFrame:
+def best_units(questions: DataFrame, units: DataFrame, method: Method, vocabulary: Vocabulary = CHINESE) -> DataFrame:
+    """(qid, unit_id, doc_id, score, rank): merged hits, of routed sections if the method says so."""
+    def merged(found: DataFrame) -> DataFrame:
+        return bm25.top_k(retrieval.merge_hits(found, ["qid", "unit_id", "doc_id"], method.bonus), ["qid"], method.final_k, "unit_id")
+
+    if not method.routed:
+        return merged(hits(questions, units, method, vocabulary=vocabulary))
+    paths = units.groupBy("section_id").agg(F.min_by("text", "ord").alias("section_path"))
+    chosen = materialise(route_sections(questions, units, paths, vocabulary), f"routes-{method.name}")
+    inside = merged(hits(questions, units, method, vocabulary=vocabulary, sections=chosen))
+    all_options = F.array_join(F.transform(F.array_sort(F.map_entries("options")), lambda o: o["value"]), " ")
+    whole = questions.select("qid", F.lit("all").alias("label"), F.concat("question", F.lit("\n"), all_options).alias("query"), F.lit(method.final_k).cast("bigint").alias("topk"))
+    return retrieval.with_fallback(materialise(inside, f"routed-{method.name}"), merged(hits(questions, units, method, whole, vocabulary)), questions, method.least_routed)
+
+
+def evidence(questions: DataFrame, units: DataFrame, method: Method, vocabulary: Vocabulary = CHINESE) -> DataFrame:
     """(qid, evidence): rendered blocks in order of score within the budget."""
     if method.full_text:
         whole = S.full_text(units, "doc_id", "ord", "text")
         return questions.select("qid", F.explode("doc_ids").alias("doc_id")).join(whole, "doc_id").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "full_text"))), lambda x: x["full_text"]), "\n\n").alias("evidence"))
-    merged = retrieval.merge_hits(hits(questions, units, method), ["qid", "unit_id", "doc_id"], method.bonus)
-    best = bm25.top_k(merged, ["qid"], method.final_k, "unit_id").join(units.select("unit_id", "section_id", "text", "unit_type"), "unit_id")
+    best = best_units(questions, units, method, vocabulary).join(units.select("unit_id", "section_id", "text", "unit_type"), "unit_id")
     near = retrieval.siblings(best.select("qid", "unit_id", "section_id"), units, method.siblings).groupBy("qid", "unit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.substring("text", 1, 220).alias("t")))), lambda x: x["t"]), "\n").alias("near"))
     block = T.render_fields([("doc", F.col("doc_id")), ("section", F.col("section_id")), ("text", F.col("text")), ("near", F.col("near"))], {"text": method.unit_chars})
     blocks = best.join(near, ["qid", "unit_id"], "left").withColumn("block", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]\n"), block))
@@ -112,9 +145,9 @@ def prompts(questions: DataFrame, found: DataFrame) -> DataFrame:
     return questions.join(found, "qid", "left").select("qid", "domain", "answer_format", "evidence", body.alias("prompt"))
 
 
-def answer_questions(questions: DataFrame, units: DataFrame, method: Method, client) -> DataFrame:
+def answer_questions(questions: DataFrame, units: DataFrame, method: Method, client, vocabulary: Vocabulary = CHINESE) -> DataFrame:
     """(qid, domain, answer_format, answer, raw_answer, evidence, prompt_tokens, completion_tokens)."""
-    asked = materialise(prompts(questions, evidence(questions, units, method)), f"prompts-{method.name}")
+    asked = materialise(prompts(questions, evidence(questions, units, method, vocabulary)), f"prompts-{method.name}")
     if method.votes > 1:
         asked = asked.select("*", F.explode(F.expr(f"sequence(1L, {method.votes}L)")).alias("round")).withColumn("prompt", F.concat("prompt", F.lit("\n#"), F.col("round").cast("string")))
     else:
@@ -173,7 +206,7 @@ def claim_workflow(questions: DataFrame, units: DataFrame, method: Method, clien
     from gleanery.functions.answers import verdict
 
     options = questions.select("qid", "answer_format", "question", "doc_ids", F.explode("options").alias("option", "claim"))
-    found = hits(questions, units, method).join(units.select("unit_id", "text"), "unit_id")
+    found = hits(questions, units, method, vocabulary=vocabulary).join(units.select("unit_id", "text"), "unit_id")
     pooled = found.withColumn("option", F.when(F.col("label").startswith("option_"), F.substring("label", 8, 1)))
     facts = pooled.join(options.select("qid", F.col("option").alias("o")), "qid").where("option is null or option = o").groupBy("qid", F.col("o").alias("option")).agg(F.array_join(F.slice(F.array_sort(F.collect_set("text")), 1, 20), "\n").alias("facts"))
     facts = materialise(facts, "facts-1")
@@ -192,7 +225,7 @@ def claim_workflow(questions: DataFrame, units: DataFrame, method: Method, clien
     risky = first.withColumn("risky", F.col("claim").rlike("not|all|no |不|未|无|均|全部|所有|超过|低于")).join(gaps, ["qid", "option"])
     actions = materialise(claims.reflect(risky, calls, most_calls), "actions").select("qid", "tool", "option", "entity")
     queries = action_queries(leads, actions, method)
-    more = hits(questions.join(actions.select("qid").distinct(), "qid", "left_semi"), units, method, queries.drop("option", "tool"))
+    more = hits(questions.join(actions.select("qid").distinct(), "qid", "left_semi"), units, method, queries.drop("option", "tool"), vocabulary)
     new = more.join(queries.select("qid", "label", "option", "tool"), ["qid", "label"]).join(units.select("unit_id", "text"), "unit_id")
     texts = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("text")))), "\n")
     counter = F.col("tool") == "counter_search"
@@ -212,7 +245,7 @@ def route_sections(questions: DataFrame, units: DataFrame, sections: DataFrame,
     """
     from gleanery.functions.answers import parse_selected
 
-    found = hits(questions, units, METHODS["m07"].with_overrides(stem_k=candidates, option_k=candidates)).join(units.select("unit_id", "section_id"), "unit_id")
+    found = hits(questions, units, METHODS["m07"].with_overrides(stem_k=candidates, option_k=candidates), vocabulary=vocabulary).join(units.select("unit_id", "section_id"), "unit_id")
     per = found.groupBy("qid", "doc_id", "section_id", "label").agg(F.max("score").alias("score"))
     named = per.join(sections.select("section_id", "section_path"), "section_id").join(questions.select("qid", "question", "domain", "answer_format"), "qid")
     boost = scoring.routing_boost(F.col("question"), F.col("section_path"), F.col("section_path"), F.col("domain"), vocabulary)

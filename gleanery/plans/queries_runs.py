@@ -24,12 +24,12 @@ def asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def method_stem_and_options(spark: SparkSession, d: str) -> DataFrame:
     """The stem-and-options method with a stub model."""
-    return answer_questions(*asked(spark, d), METHODS["m05"], StubModel()).drop("evidence")
+    return answer_questions(*asked(spark, d), METHODS["m05"], StubModel(), LATIN).drop("evidence")
 
 
 @query()
 def method_voting(spark: SparkSession, d: str) -> DataFrame:
-    return answer_questions(*asked(spark, d), METHODS["m02"], StubModel(1)).drop("evidence")
+    return answer_questions(*asked(spark, d), METHODS["m02"], StubModel(1), LATIN).drop("evidence")
 
 
 @query()
