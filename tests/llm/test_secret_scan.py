@@ -52,3 +52,8 @@ def test_report(docs, none, rows, spark):
 def test_dropped_matches_still_consume():
     # The short first match is dropped, and what it covered is not searched again.
     assert not list(S.BASE_RULES[0].spans("token=short token=tiny"))
+
+
+def test_long_logins_in_urls():
+    text = "see https://oauth2:" + "x" * 70 + "@host and ftp://" + "u" * 90 + ":pass@host"
+    assert [text[a:b] for a, k, b in S.find_spans([text])[0] if S.RULES[k].kind == "url_login"] == ["https://oauth2:" + "x" * 70 + "@", "ftp://" + "u" * 90 + ":pass@"]
