@@ -81,4 +81,62 @@ def test_features_in_use():
     def answers(tree):
         return [tree] if isinstance(tree, bool) else answers(tree[2]) + answers(tree[3])
 
-    assert {"boiler", "main", "density", "words", "words_after"} <= used(H.trained_tree())
+    assert {"boiler", "density", "words", "words_after", "paragraph", "heading"} <= used(H.trained_tree())
+    assert H.FEATURES[H.trained_tree()[0]] not in H.HINTS
+
+
+def verdicts(page, hints=True):
+    blocks = H.blocks_of(page)
+    return blocks, [H.is_content(H.trained_tree(), row) for row in H.features(blocks, hints)]
+
+
+def test_text_features_decide(spark, sf):
+    """On pages without any container's name the same blocks are kept, and with names they hardly matter."""
+    kept = other = same = 0
+    kept_of = other_of = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        truth = H.blocks_of(r["html"])
+        stripped = re.sub(r"<(/?)(article|nav|footer)>", r"<\1div>", r["html"]).replace(' class="ad"', "")
+        blocks, plain = verdicts(stripped)
+        assert [b.text for b in blocks] == [b.text for b in truth]
+        for b, keep, named in zip(truth, plain, verdicts(r["html"])[1]):
+            same += keep == named
+            kept, kept_of, other, other_of = kept + (b.main and keep), kept_of + b.main, other + (not b.main and keep), other_of + (not b.main)
+    assert kept >= 0.9 * kept_of and other <= 0.1 * other_of and same >= 0.9 * (kept_of + other_of)
+    decided = total = 0
+    for page in HELD_OUT:
+        with_names, without = verdicts(page)[1], verdicts(page, hints=False)[1]
+        decided += sum(a == b for a, b in zip(with_names, without))
+        total += len(without)
+    assert decided >= 0.75 * total
+
+
+def test_plain_containers():
+    long_ = "A long paragraph of text that goes on for quite some words so that it is part of an article."
+    page = f"""<div class="cookie-notice"><p>We use cookies on this site to make it better for you and all who come here</p></div><h1>Title here</h1><p>{long_}</p>
+<p>One.</p><p>{long_}</p><p>End.</p><aside>About us and our long history of writing things down</aside><div id="comments"><p>I disagree strongly with all of this</p><p>me too</p></div>"""
+    assert H.main_text(page) == f"Title here {long_} One. {long_} End."
+    menu = f'<div class="content-block"><ul><li><a href=/>menu</a></li></ul></div><h1>Walk</h1><p>{long_}</p><p>Bring water.</p>'
+    assert H.main_text(menu) == f"Walk {long_} Bring water."
+
+
+def test_blocks_inside_articles():
+    page = """<article><h1>T</h1><p>Real text of the article with many words in it.</p><p class="advert">Buy now</p><p hidden>secret</p><div style="display: none">gone</div>
+<p>More <math><mi>x</mi></math> and <object>thing</object>, <noscript>plain</noscript> <span hidden>un<span>se</span>en</span>words.</p><p><a href=/p>Read the paper</a></p></article>"""
+    assert H.main_text(page) == "T Real text of the article with many words in it. More x and thing, plain words. Read the paper"
+
+
+def test_unclosed_elements():
+    for tag in ("button", "svg", "object", "canvas", "select"):
+        page = f"<article><p>The first paragraph of the article stands here.</p><section><{tag}>inside</section><p>The second one is not lost.</p></article>"
+        assert H.main_text(page).endswith("The second one is not lost."), tag
+    assert H.main_text("<ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table>" * 2) is not None
+
+
+def test_very_long_page():
+    words = "word " * 400_000
+    page = f"<nav><a href=/>x</a></nav><article><h1>Long</h1><p>{words}</p>" + "<p>One more paragraph of a few words.</p>" * 20_000 + "</article>"
+    got = H.main_text(page)
+    assert got.startswith("Long word word") and got.count("One more") == 20_000 and len(got) == 4 + len(words) + 20_000 * 35
+    deep = "<div>" * 20_000 + "<p>A paragraph that lies very deep inside of other containers.</p>" + "</b></div>" * 20_000
+    assert H.main_text(deep) == "A paragraph that lies very deep inside of other containers."
