@@ -2,20 +2,26 @@
 
 From each rule's regular expression a Boolean query over trigrams is derived: a text
 can match only if it holds the trigrams that the query asks for. Texts are indexed in
-segments (one per Arrow batch, as a search engine does): a posting list per trigram
-that some query mentions. A rule's candidates come from intersecting and uniting
-postings; only they are verified with the regular expression. A rule whose expression
-forces no trigram (``hex``) has the query "any text" and is run over every text.
+segments of about a megabyte: every trigram of every text is extracted once, and a segment's
+index is its sorted (trigram, text) pairs, in which a trigram's posting list is found by
+binary search. The cost of an index doesn't depend on the rules. A rule's candidates come
+from intersecting and uniting postings; only they are verified with the regular expression.
+A rule whose expression forces no trigram (``hex``) has the query "any text" and is run over
+every text.
 
-Postings fold ASCII letters to lower case, so one index serves rules with and without case.
+Trigrams are of UTF-8 bytes with ASCII letters in lower case, so one index serves rules with
+and without case.
 
 Defined results: a null text is empty and has no finding; every document gives one row;
-empty tables give none; ties in start are ordered as the rules are listed; rows with
-equal ids stay apart (each is scanned on its own); other columns are ignored.
+texts are read whole, however long (a text longer than a segment is one of its own, indexed
+in pieces of bounded size); empty tables give no rows; ties in start are ordered as the rules
+are listed; rows with equal ids stay apart (each is scanned on its own); other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -75,7 +81,7 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 # ---------------------------------------------------------------- trigram queries
-# A query is True (any text), a string (one trigram), or ("and" | "or", frozenset of queries).
+# A query is True (any text), bytes (one trigram), or ("and" | "or", frozenset of queries).
 _MOST_STRINGS = 64
 
 
@@ -95,7 +101,13 @@ def _join(kind: str, parts) -> object:
 
 def _strings_query(strings: frozenset[str]) -> object:
     """Some text that holds one of ``strings``."""
-    return _join("or", (_join("and", (s[i : i + 3] for i in range(len(s) - 2))) if len(s) > 2 else True for s in strings))
+    coded = [s.encode("utf-8", "surrogatepass") for s in strings]
+    return _join("or", (_join("and", (s[i : i + 3] for i in range(len(s) - 2))) if len(s) > 2 else True for s in coded))
+
+
+def _low(code: int) -> str:
+    """The character with A-Z folded, as the index folds them; rules ignore the case of no others (re.ASCII)."""
+    return chr(code + 32 if 65 <= code <= 90 else code)
 
 
 def _walk(items) -> list[object]:
@@ -106,14 +118,14 @@ def _walk(items) -> list[object]:
     parts: list[object] = []
     for op, arg in items:
         if op is sre_c.LITERAL:
-            parts.append(frozenset([chr(arg).lower()]))
+            parts.append(frozenset([_low(arg)]))
         elif op is sre_c.IN:
             chars = set()
             for kind, value in arg:
                 if kind is sre_c.LITERAL:
-                    chars.add(chr(value).lower())
+                    chars.add(_low(value))
                 elif kind is sre_c.RANGE and value[1] - value[0] < 8:
-                    chars |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
+                    chars |= {_low(c) for c in range(value[0], value[1] + 1)}
                 else:
                     chars = None
                     break
@@ -168,49 +180,63 @@ def _query(parts: list[object]) -> object:
     return _join("and", [*asked, _strings_query(held)])
 
 
+@functools.lru_cache(1024)
 def trigram_query(pattern: str) -> object:
     """Boolean query over lower-case trigrams that every match of ``pattern`` satisfies; True if none is forced."""
     return _query(_walk(sre_p.parse(pattern)))
 
 
-def query_trigrams(query: object) -> set[str]:
-    if query is True:
-        return set()
-    return {query} if isinstance(query, str) else set().union(*map(query_trigrams, query[1]))
-
-
 class Segment:
-    """Postings of one batch of texts, for the trigrams that queries mention."""
+    """Postings of some texts: sorted, distinct trigram << 32 | text."""
 
-    def __init__(self, texts: list[str], trigrams: list[str]):
+    def __init__(self, texts: list[str]):
         self.size = len(texts)
-        found: dict[str, list[int]] = {g: [] for g in trigrams}
-        for i, text in enumerate(texts):
-            low = text.lower() if text.isascii() else text.translate(_FOLD)
-            for g in trigrams:
-                if g in low:
-                    found[g].append(i)
-        self.postings = {g: np.array(x, np.int64) for g, x in found.items()}
+        coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+        owner = np.repeat(np.arange(len(coded)), sizes)
+        parts = []
+        for at in range(0, max(0, len(data) - 2), PIECE):
+            end = min(len(data) - 2, at + PIECE)
+            wide = data[at : end + 2].astype(np.uint32)
+            gram = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+            text = owner[at:end]
+            keys = gram.astype(np.int64) << 32 | text
+            keys = keys[text == owner[at + 2 : end + 2]]  # no trigram spans two texts
+            keys.sort()
+            parts.append(keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys)
+        self.keys = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+    def postings(self, trigram: bytes) -> np.ndarray:
+        """The texts that hold the trigram, in order."""
+        code = int.from_bytes(trigram, "big")
+        a, b = np.searchsorted(self.keys, [code << 32, (code + 1) << 32])
+        return self.keys[a:b] & 0xFFFFFFFF
 
     def candidates(self, query: object) -> np.ndarray:
         if query is True:
             return np.arange(self.size)
-        if isinstance(query, str):
-            return self.postings[query]
+        if isinstance(query, bytes):
+            return self.postings(query)
         lists = sorted(map(self.candidates, query[1]), key=len)
         out = lists[0]
         for x in lists[1:]:
+            if query[0] == "and" and not len(out):
+                break
             out = np.intersect1d(out, x, assume_unique=True) if query[0] == "and" else np.union1d(out, x)
         return out
 
 
-_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: Bytes of text that a segment of several texts holds at most, and positions that are sorted at a time.
+SEGMENT_BYTES = 1 << 20
+PIECE = 1 << 20
 
 
 def find_spans(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
     """For each text its findings (start, rule's place, end), in order."""
     asked = [trigram_query(r.pattern) for r in rules]
-    segment = Segment(texts, sorted(set().union(*map(query_trigrams, asked))))
+    segment = Segment(texts)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for k, (rule, query) in enumerate(zip(rules, asked)):
         for i in segment.candidates(query).tolist():
@@ -228,7 +254,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules
     names = [r.kind for r in rules]
 
     def scan(batches):
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, SEGMENT_BYTES):
             found = find_spans(batch.column(1).to_pylist(), rules)
             lists = [[{"kind": names[k], "start": a, "end": b} for a, k, b in x] for x in found]
             shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
