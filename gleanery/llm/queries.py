@@ -66,6 +66,5 @@ def oracle_sql() -> dict[str, str]:
     # The SQL is as it was given: logins of up to 64 characters, where the operator has no bound.
     bounded = {"url_login": r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"}
     rules = [(r.kind, bounded.get(r.kind, r.pattern), r.group, r.least) for r in secret_scan.RULES]
-    notices = {f: [[g for g in license_scan.grams(t) if " " in g] for t in texts] for f, texts in license_scan.NOTICES.items()}
-    op1 = sql.op1(license_scan.trained_model(), notices, license_scan.GATE, license_scan.WORD, license_scan.CONFIRM)
+    op1 = sql.op1(license_scan.trained_model(), license_scan.templates(), license_scan.WORD, license_scan.CONFIRM, license_scan.UNIT)
     return {"op1_license_scan": op1, "op2_secret_scan": sql.op2(rules, len(secret_scan.BASE_RULES)), "op3_exact_dedup": sql.OP3, "op5_chat_format": sql.OP5, "op8_html_extract": sql.OP8, "op10_source_mixing": sql.OP10}

@@ -70,26 +70,32 @@ FROM t LEFT JOIN g ON g.doc_id = t.doc_id
 """
 
 
-def op1(model, notices: dict[str, list[list[str]]], gate: str, word: str, confirm: float) -> str:
-    """SQL of the licence scan for a trained model and each family's notices as lists of 2-grams."""
+def op1(model, forms: dict[str, list[list[str]]], word: str, confirm: float, unit: int) -> str:
+    """SQL of the licence scan for a trained model and each family's templates as lists of grams.
+
+    Paragraphs are put together from lines, grams are joined with tables of weights and of templates.
+    """
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     listed = lambda xs: "[" + ", ".join(map(quoted, xs)) + "]"
-    weights = ", ".join(f"({quoted(g)}, {list(w)!r}::DOUBLE[])" for g, w in model.weights.items())
-    templates = ", ".join(f"({quoted(f)}, {listed(t)})" for f, ts in notices.items() for t in ts)
-    z = ", ".join(f"({b}::DOUBLE + coalesce(sum(m.w[{k + 1}]), 0)) / {model.temperature}::DOUBLE" for k, b in enumerate(model.bias))
-    return f"""
+    weights = ", ".join(f"({quoted(g)}, {list(w)!r}::BIGINT[])" for g, w in model.weights.items())
+    templates = ", ".join(f"({quoted(f)}, {listed(t)})" for f, ts in forms.items() for t in ts)
+    z = ", ".join(f"({b} + coalesce(sum(m.w[{k + 1}]), 0)) / ({unit} * {model.temperature}::DOUBLE)" for k, b in enumerate(model.bias))
+    return rf"""
 WITH m(gram, w) AS (VALUES {weights}),
 tpl(family, t) AS (VALUES {templates}),
-d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-l AS (SELECT doc_id, u.i - 1 AS p, regexp_extract_all(lower(parts[u.i]), $re${word}$re$) AS ws FROM d, unnest(range(1, len(parts) + 1)) AS u(i) WHERE regexp_matches(parts[u.i], $re${gate}$re$)),
-g AS (SELECT doc_id, p, list_distinct(ws) AS words, list_distinct(list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))) AS pairs FROM l),
-e AS (SELECT doc_id, p, unnest(list_concat(words, pairs)) AS gram FROM g),
-s AS (SELECT doc_id, p, [{z}] AS z FROM e LEFT JOIN m USING (gram) GROUP BY doc_id, p),
+l AS (SELECT doc_id, u.i AS i, parts[u.i] AS line, u.i < len(parts) AND (regexp_matches(parts[u.i], $re$[.!?]["')\]]{{0,2}}[ \t\r]{{0,8}}$$re$) OR NOT regexp_matches(parts[u.i + 1], '[A-Za-z0-9]')) AS last
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS u(i)),
+n AS (SELECT *, coalesce(sum(CAST(last AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM l),
+d AS (SELECT doc_id, max(p) + 1 AS n_paragraphs FROM n GROUP BY doc_id),
+ws AS (SELECT doc_id, p, regexp_extract_all(lower(string_agg(line, chr(10) ORDER BY i)), $re${word}$re$) AS ws FROM n GROUP BY doc_id, p),
+g AS (SELECT doc_id, p, len(ws) AS n, list_distinct(list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])))) AS grams FROM ws),
+e AS (SELECT doc_id, p, unnest(grams) AS gram FROM g),
+s AS (SELECT doc_id, p, [{z}] AS z FROM e JOIN m USING (gram) GROUP BY doc_id, p),
 b AS (SELECT doc_id, p, {listed(model.families)}[list_position(z, list_max(z))] AS family, 1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS prob FROM s),
-c AS (SELECT b.*, coalesce((SELECT max(len(list_intersect(g.pairs, t)) / greatest(1, least(len(g.pairs), len(t)))::DOUBLE) FROM tpl WHERE tpl.family = b.family), 0) AS sim FROM b JOIN g USING (doc_id, p)),
-f AS (SELECT doc_id, p, prob, sim, family <> 'unknown' AND prob >= {model.least} AND sim >= {confirm} AS ok, family FROM c),
-r AS (SELECT doc_id, count(*) AS n_named, count(*) FILTER (ok) AS n_licensed, string_agg(DISTINCT family, ',' ORDER BY family) FILTER (ok) AS families,
-  string_agg(concat_ws(':', p, CASE WHEN ok THEN family ELSE 'unknown' END, printf('%.4f', prob), printf('%.4f', sim)), ',' ORDER BY p) AS paragraphs FROM f GROUP BY doc_id)
-SELECT d.doc_id, len(d.parts) AS n_paragraphs, coalesce(n_named, 0) AS n_named, coalesce(n_licensed, 0) AS n_licensed, coalesce(families, '') AS families, coalesce(paragraphs, '') AS paragraphs
+k AS (SELECT * FROM b WHERE family <> 'unknown' AND prob >= {model.least}),
+f AS (SELECT k.*, (SELECT max(len(list_intersect(g.grams, t)) / greatest(1, least(g.n - 1, len(t)))::DOUBLE) FROM tpl WHERE tpl.family = k.family) AS sim FROM k JOIN g USING (doc_id, p)),
+r AS (SELECT doc_id, count(*) AS n_found, count(*) FILTER (sim >= {confirm}) AS n_licensed, string_agg(DISTINCT family, ',' ORDER BY family) FILTER (sim >= {confirm}) AS families,
+  string_agg(concat_ws(':', p, family, printf('%.4f', prob), printf('%.4f', sim)), ',' ORDER BY p) AS paragraphs FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(n_paragraphs AS BIGINT) AS n_paragraphs, coalesce(n_found, 0) AS n_found, coalesce(n_licensed, 0) AS n_licensed, coalesce(families, '') AS families, coalesce(paragraphs, '') AS paragraphs
 FROM d LEFT JOIN r ON r.doc_id = d.doc_id
 """
