@@ -7,8 +7,9 @@ deleted. The row with the most code points in its original text, then the smalle
    they stay in an open-addressing table that compares complete contents. Beyond the memory
    budget they go to spill files by bits of the hash, and each file is treated alike with the
    next bits, until its records fit or are all one text. What leaves a partition is one
-   representative per distinct text, plus (id, representative) for each row, so a text that
-   fills a third of the table shrinks to one row per partition before anything is shuffled.
+   representative per distinct text, and for each row, as soon as its text is found in the
+   table, which representative it belongs to; so a text that fills a third of the table
+   shrinks to one row per partition before anything is shuffled, and no list of rows is held.
 2. Representatives are dealt by hash and deduplicated in the same way.
 3. Each row looks up its representative's verdict, keyed by representative, so that even the
    rows of the largest group spread over as many keys as there were input partitions.
@@ -16,8 +17,10 @@ deleted. The row with the most code points in its original text, then the smalle
 Spill files live and die inside one task; the table between 1 and 2 is in the shared folder.
 
 Defined results: null counts as empty; a text of white space only equals the empty text;
-repeated ids are separate rows (of rows that tie in length and id one is kept, ``kept`` is
-true for it alone); empty tables give no rows; other columns are ignored.
+texts are compared whole, however long; ids are integers (other types are refused), null
+sorts after all; repeated ids are separate rows (of rows that tie in length and id one is
+kept, ``kept`` is true for it alone); empty tables give no rows; other columns are ignored,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -36,13 +39,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gleanery.llm.shared import WHITE, batches_of, stash, text_of
+from gleanery.llm.shared import WHITE, batches_of, columns_of, integer_column, numbered, place, stash
 from gleanery.session import ship_package
 
 #: Bytes of record contents that one table may hold before it spills.
 MEMORY_BUDGET = 64 << 20
 FAN_OUT = 16
-_HEAD = struct.Struct("<QqqqqII")
+_HEAD = struct.Struct("<Qq?qQqqII")
 
 
 class ContentTable:
@@ -52,18 +55,22 @@ class ContentTable:
         self.slots = [-1] * 1024
         self.hashes: list[int] = []
         self.contents: list[bytes] = []
-        self.best: list[tuple[int, int, int]] = []  # (-length, id, row) of the entry's best record
+        self.best: list[Best] = []
         self.sizes: list[int] = []
+        self.firsts: list[int] = []  # row of the entry's first record
+        self.rows: list[bytearray] = []
         self.payloads: list[bytes] = []
 
-    def find(self, code: int, content: bytes) -> tuple[int, bool]:
-        """(entry with this content, whether it is new)."""
+    def find(self, code: int, content: bytes, add: bool = True) -> tuple[int, bool]:
+        """(entry with this content, whether it is new); without ``add`` -1 if there is none."""
         slots, mask = self.slots, len(self.slots) - 1
         at = code & mask
         while (entry := slots[at]) >= 0:
             if self.hashes[entry] == code and self.contents[entry] == content:
                 return entry, False
             at = (at + 1) & mask
+        if not add:
+            return -1, False
         slots[at] = entry = len(self.contents)
         self.hashes.append(code)
         self.contents.append(content)
@@ -81,8 +88,14 @@ class ContentTable:
             slots[at] = entry
 
 
-Record = tuple[int, int, int, int, int, bytes, bytes]  # hash, -length, id, row, size, content, payload
-Group = tuple[tuple[int, int, int], int, bytes, bytes, bytes]  # best (-length, id, row), size, content, rows packed, best's payload
+#: (-length, whether the id is null, id, tie, row): the least of a group's records stays.
+Best = tuple[int, bool, int, int, int]
+Record = tuple[int, Best, int, bytes, bytes]  # hash, best, size, content, payload
+Group = tuple[Best, int, int, bytes, bytes, bytes]  # best, size, first row, content, rows packed, best's payload
+
+
+def best_of(length: int, key: int | None, row: int, tie: int = 0) -> Best:
+    return -length, key is None, key or 0, tie, row
 
 
 class GraceDedup:
@@ -93,45 +106,49 @@ class GraceDedup:
         self.spilled = 0
         self.deepest = 0
 
-    def groups(self, records: Iterable[Record], level: int = 0) -> Iterator[Group]:
-        """Each group once, with the rows of its records. Records that come after the budget is
-        reached still meet the table's entries; only new contents go to the spill files."""
+    def groups(self, records: Iterable[Record], rows: str = "none", level: int = 0) -> Iterator[Group | tuple[int, Best]]:
+        """Each group once. With ``rows`` "emit", before its group every record as (the group's first row, best);
+        with "pack" a group has the rows of its records, 8 bytes each.
+
+        Records that come after the budget is reached still meet the table's entries; only new contents go to the
+        spill files."""
         self.deepest = max(self.deepest, level)
-        table, members, held = ContentTable(), [], 0
+        table, held = ContentTable(), 0
         files: list = []
         folder = None
         try:
-            for code, length, key, row, size, content, payload in records:
-                full = held >= self.budget
-                if full:
-                    entry = self._seen(table, code, content)
-                    if entry < 0:
-                        if not files:
-                            folder = tempfile.mkdtemp(prefix="grace-", dir=self.folder)
-                            files = [open(os.path.join(folder, f"{i}.bin"), "wb") for i in range(FAN_OUT)]
-                        files[(code >> (4 * (15 - level % 16))) % FAN_OUT].write(_HEAD.pack(code, length, key, row, size, len(content), len(payload)) + content + payload)
-                        self.spilled += 1
-                        continue
-                else:
-                    entry, new = table.find(code, content)
-                    if new:
-                        held += len(content) + len(payload) + 200
-                        table.payloads.append(payload)
-                        table.best.append((length, key, row))
-                        table.sizes.append(0)
-                        members.append(bytearray())
+            for code, best, size, content, payload in records:
+                entry, new = table.find(code, content, held < self.budget)
+                if entry < 0:
+                    if not files:
+                        folder = tempfile.mkdtemp(prefix="grace-", dir=self.folder)
+                        files = [open(os.path.join(folder, f"{i}.bin"), "wb") for i in range(FAN_OUT)]
+                    files[(code >> (4 * (15 - level % 16))) % FAN_OUT].write(_HEAD.pack(code, *best, size, len(content), len(payload)) + content + payload)
+                    self.spilled += 1
+                    continue
+                if new:
+                    held += len(content) + len(payload) + 250
+                    table.payloads.append(payload)
+                    table.best.append(best)
+                    table.sizes.append(0)
+                    table.firsts.append(best[-1])
+                    table.rows.append(bytearray())
                 table.sizes[entry] += size
-                if (length, key, row) < table.best[entry]:
-                    table.best[entry] = (length, key, row)
+                if best < table.best[entry]:
+                    table.best[entry] = best
                     table.payloads[entry] = payload
-                members[entry] += row.to_bytes(8, "little", signed=True)
+                if rows == "pack":
+                    held += 8
+                    table.rows[entry] += best[-1].to_bytes(8, "little", signed=True)
+                elif rows == "emit":
+                    yield table.firsts[entry], best
             for f in files:
                 f.close()
-            yield from zip(table.best, table.sizes, table.contents, map(bytes, members), table.payloads)
-            del table, members
+            yield from zip(table.best, table.sizes, table.firsts, table.contents, map(bytes, table.rows), table.payloads)
+            del table
             for i in range(len(files)):
                 path = os.path.join(folder, f"{i}.bin")
-                yield from self.groups(_read(path), level + 1)
+                yield from self.groups(_read(path), rows, level + 1)
                 os.unlink(path)
         finally:
             for f in files:
@@ -139,22 +156,12 @@ class GraceDedup:
             if folder:
                 shutil.rmtree(folder, ignore_errors=True)
 
-    @staticmethod
-    def _seen(table: ContentTable, code: int, content: bytes) -> int:
-        slots, mask = table.slots, len(table.slots) - 1
-        at = code & mask
-        while (entry := slots[at]) >= 0:
-            if table.hashes[entry] == code and table.contents[entry] == content:
-                return entry
-            at = (at + 1) & mask
-        return -1
-
 
 def _read(path: str) -> Iterator[Record]:
     with open(path, "rb") as f:
         while head := f.read(_HEAD.size):
-            code, length, key, row, size, n, m = _HEAD.unpack(head)
-            yield code, length, key, row, size, f.read(n), f.read(m)
+            code, *best, size, n, m = _HEAD.unpack(head)
+            yield code, tuple(best), size, f.read(n), f.read(m)
 
 
 def _hash(content: bytes) -> int:
@@ -166,61 +173,52 @@ def _hash(content: bytes) -> int:
 def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = MEMORY_BUDGET) -> DataFrame:
     """One row per document: key, keep_id, group_size, kept, text_sha256."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), text_of(text).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    integer_column(docs, key)
+    rows = columns_of(docs, id=key, text=text).select(F.col("id").cast("bigint").alias("id"), "text").withColumn("row", F.monotonically_increasing_id())
 
     def local(batches):
-        ids: list[int] = []
-        first: list[int] = []
-
         def records():
             for batch in batches_of(batches):
                 for key_, text_, row in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    if not first:
-                        first.append(row)
                     content = text_.encode("utf-8", "surrogatepass").translate(None, WHITE)
-                    ids.append(key_)
-                    # A null id sorts after all others.
-                    yield _hash(content), -len(text_), _LAST if key_ is None else key_, row, 1, content, b""
+                    yield _hash(content), best_of(len(text_), key_, row), 1, content, b""
 
         out = _Rows()
-        for (length, best, row), size, content, packed, _ in GraceDedup(budget).groups(records()):
-            members = memoryview(packed).cast("q")
-            yield from out.add(rep=row, row=None, id=None if best == _LAST else best, length=-length, size=size, code=_signed(_hash(content)), content=content)
-            for m in members:
-                yield from out.add(rep=row, row=m, id=ids[m - first[0]], length=None, size=None, code=None, content=None)
+        for got in GraceDedup(budget).groups(records(), "emit"):
+            if len(got) == 2:
+                rep, (_, none, key_, _, row) = got
+                yield from out.add(rep=rep, row=row, id=None if none else key_, best=None, length=None, size=None, code=None, content=None)
+            else:
+                (length, none, key_, _, row), size, rep, content, _, _ = got
+                yield from out.add(rep=rep, row=None, id=None if none else key_, best=row, length=-length, size=size, code=_signed(_hash(content)), content=content)
         yield from out.flush()
 
-    shape = "rep bigint, row bigint, id bigint, length bigint, size bigint, code bigint, content binary"
+    shape = "rep bigint, row bigint, id bigint, best bigint, length bigint, size bigint, code bigint, content binary"
     parts = stash(rows.mapInArrow(local, shape), "dedup-local")
-    reps = parts.where("row is null").select("rep", "id", "length", "size", "code", "content").repartition("code")
+    reps = parts.where("row is null").select("rep", "id", "best", "length", "size", "code", "content").repartition("code")
 
     def meet(batches):
+        # A group's best row and its representatives are not the same rows: representatives go by number.
         def records():
             for batch in batches_of(batches):
-                for rep, id_, length, size, code, content in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                    yield code & _MASK, -length, _LAST if id_ is None else id_, rep, size, content, b""
+                for rep, id_, row, length, size, code, content in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                    yield code & _MASK, best_of(length, id_, rep, row), size, content, b""
 
-        rep, best, stays, sizes, digests, n = [], [], [], [], [], 0
+        columns: list[list] = [[], [], [], [], []]
 
         def batch_():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rep, pa.int64()), pa.array(best, pa.int64()), pa.array(stays, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())],
-                ["rep", "keep_id", "keep_row", "group_size", "text_sha256"],
-            )
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["rep", "keep_id", "keep_row", "group_size", "text_sha256"])
 
-        for (_, keep, row), size, content, packed, _ in GraceDedup(budget).groups(records()):
+        for (_, none, keep, row, _), size, _, content, packed, _ in GraceDedup(budget).groups(records(), "pack"):
             digest = hashlib.sha256(content).hexdigest()
-            for r in memoryview(packed).cast("q"):
-                rep.append(r)
-                best.append(None if keep == _LAST else keep)
-                stays.append(row)
-                sizes.append(size)
-                digests.append(digest)
-                n += 1
-                if n % 20_000 == 0:
+            for rep in memoryview(packed).cast("q"):
+                for c, value in zip(columns, (rep, None if none else keep, row, size, digest)):
+                    c.append(value)
+                if len(columns[0]) == 20_000:
                     yield batch_()
-                    for x in (rep, best, stays, sizes, digests):
-                        x.clear()
+                    for c in columns:
+                        c.clear()
         yield batch_()
 
     verdicts = reps.mapInArrow(meet, "rep bigint, keep_id bigint, keep_row bigint, group_size bigint, text_sha256 string")
@@ -232,7 +230,6 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", b
 
 
 _MASK = (1 << 64) - 1
-_LAST = (1 << 63) - 1
 
 
 def _signed(code: int) -> int:
@@ -242,7 +239,7 @@ def _signed(code: int) -> int:
 class _Rows:
     """Collects rows into Arrow batches of about 4 MB."""
 
-    SCHEMA = pa.schema([("rep", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("length", pa.int64()), ("size", pa.int64()), ("code", pa.int64()), ("content", pa.binary())])
+    SCHEMA = pa.schema([("rep", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("best", pa.int64()), ("length", pa.int64()), ("size", pa.int64()), ("code", pa.int64()), ("content", pa.binary())])
 
     def __init__(self) -> None:
         self.columns = {n: [] for n in self.SCHEMA.names}
@@ -266,38 +263,39 @@ class _Rows:
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = MEMORY_BUDGET) -> DataFrame:
     """The documents that stay, with all their columns; one shuffle, of each partition's distinct texts.
 
-    Of rows that tie in length and id, any one stays.
+    Of rows that tie in length and id, the one whose values have the smallest hash stays, whatever the partitioning.
     """
     ship_package(docs.sparkSession)
-    names, at_key, at_text = docs.columns, docs.columns.index(key), docs.columns.index(text)
-    shape = to_arrow_schema(docs.schema)
-    coded = StructType([*docs.schema.fields, StructField("__code", LongType())])
+    integer_column(docs, key)
+    at_key, at_text, many = place(docs, key), place(docs, text), len(docs.columns)
+    own = numbered(docs)
+    coded = StructType([*own.schema.fields, StructField("code", LongType())])
+    shape = to_arrow_schema(coded)
 
     def best(batches):
         def records():
             row = 0
             for batch in batches_of(batches):
-                for values in zip(*(batch.column(i).to_pylist() for i in range(len(names)))):
-                    own = values[at_text] or ""
-                    content = own.encode("utf-8", "surrogatepass").translate(None, WHITE)
+                for values in zip(*(batch.column(i).to_pylist() for i in range(many))):
+                    said = values[at_text] or ""
+                    content = said.encode("utf-8", "surrogatepass").translate(None, WHITE)
+                    payload = pickle.dumps(values, 5)
                     row += 1
-                    yield _hash(content), -len(own), _LAST if values[at_key] is None else values[at_key], row, 1, content, pickle.dumps(values, 5)
+                    yield _hash(content), best_of(len(said), values[at_key], row, _hash(payload)), 1, content, payload
 
-        rows, codes, size = [], [], 0
+        rows, size = [], 0
 
         def batch_():
-            columns = list(zip(*rows)) if rows else [()] * len(names)
-            arrays = [pa.array(c, f.type) for c, f in zip(columns, shape)] + [pa.array(codes, pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, [*names, "__code"])
+            columns = list(zip(*rows)) if rows else [()] * (many + 1)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
 
-        for _, _, content, _, payload in GraceDedup(budget).groups(records()):
-            rows.append(pickle.loads(payload))
-            codes.append(_signed(_hash(content)))
+        for _, _, _, content, _, payload in GraceDedup(budget).groups(records()):
+            rows.append((*pickle.loads(payload), _signed(_hash(content))))
             size += len(payload)
             if size > 4 << 20:
                 yield batch_()
-                rows, codes, size = [], [], 0
+                rows, size = [], 0
         yield batch_()
 
-    local = docs.mapInArrow(best, coded)
-    return local.repartition("__code").drop("__code").mapInArrow(best, coded).drop("__code")
+    local = own.mapInArrow(best, coded)
+    return local.repartition("code").drop("code").mapInArrow(best, coded).drop("code").toDF(*docs.columns)
