@@ -1,8 +1,12 @@
 """Connected components of a graph held in DataFrames, by alternating large and small stars.
 
 Each round makes every node point to smaller neighbours only; the number of rounds grows
-with the logarithm of the longest path. Rounds are cut off from each other by tables in
-the shared folder, and nothing but counts reaches the driver.
+with the logarithm of the longest path. Edges always point from the larger node a to the
+smaller node b, and everything is keyed by the larger one: a hub, the smallest of many, is
+never a key, as it has no smaller neighbour that others would have to be told of. Minima are
+taken in two steps, by (a, part of b) first, so that a node with very many smaller
+neighbours spreads too. Rounds are cut off from each other by tables in the shared folder,
+which are removed as soon as they are read; nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,18 +16,25 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.shared import drop_path, scratch_path
 
+#: Parts over which one node's neighbours are spread before their minimum is taken.
+PARTS = 64
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(n, m): every node with smaller neighbours and the smallest of these."""
+    part = F.pmod(F.xxhash64("b"), F.lit(PARTS))
+    some = edges.groupBy("a", part.alias("part")).agg(F.min("b").alias("m"))
+    return some.groupBy(F.col("a").alias("n")).agg(F.min("m").alias("m"))
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b")))
+
+def _round(edges: DataFrame) -> DataFrame:
+    # Large star: a larger neighbour of b points to b's smallest neighbour instead, if b has a smaller one.
+    least = _least(edges)
+    up = edges.join(least, F.col("b") == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b"))
+    # Small star: the smaller neighbours of a, and a, point to the smallest of them.
+    least = _least(up)
+    moved = up.join(least, F.col("a") == F.col("n")).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -33,9 +44,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     path, mark = None, None
-    current = edges.select("a", "b").where("a != b").distinct()
+    current = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for _ in range(most_rounds):
-        stars = _small_star(_large_star(current)).distinct()
+        stars = _round(current)
         new = scratch_path(spark, "stars")
         stars.write.parquet(new)
         current = spark.read.schema(stars.schema).parquet(new)

@@ -6,15 +6,20 @@ Fingerprints are linked when at most ``distance`` bits differ. They are cut into
 joining on every choice of three blocks finds them all. Only distinct fingerprints are
 joined (copies are grouped first), the values that share a choice of blocks stream through
 one task in sorted order, and what leaves is not every pair but a spanning forest of the
-verified links: at most one row per value. With 5 blocks a choice fixes at least 38 bits,
-so a group can hold at most 2^26 distinct values of 8 bytes, whatever the input; large
-groups are linked without comparing all pairs (see :func:`link_group`).
-
-Defined results: null text is empty; texts without words have fingerprint zero and are
-linked like any other; repeated rows have equal fingerprints and so are linked; an id that
-repeats with other texts links nothing by itself; empty tables give no rows; other columns
-are ignored. Ids are integers; rows with a null id get the smallest id of their component's
-other rows, or null if there is none.
+verified links: at most one row per value.
+
+A group of more than ``DIRECT`` values isn't compared there. Its values are dealt again: the
+bits that the choice leaves free are cut into blocks in the same way, two of four of which any
+two linked values share, so groups get a finer key (50 bits or more of 64 are fixed, 2^14
+values at most remain) and no pair is lost. Every link, in either step, is a pair whose
+Hamming distance was counted. A task holds one group of at most 2^14 values.
+
+Defined results: null text is empty; texts are read whole, however long; texts without words
+have fingerprint zero and are linked like any other; repeated rows have equal fingerprints
+and so are linked; an id that repeats with other texts links nothing by itself; empty tables
+give no rows; other columns are ignored, whatever they are called. Ids are of any type with
+an order; rows with a null id get the smallest id of their component's other rows, or null if
+there is none.
 """
 
 from __future__ import annotations
@@ -27,14 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.components import components
-from gleanery.llm.shared import batches_of, stash, text_of
+from gleanery.llm.shared import batches_of, columns_of, numbered, place, stash
 from gleanery.session import ship_package
 
 SEED = 42
 WIDTH = 3
 DISTANCE = 2
-#: Groups up to this size compare all their values with numpy; larger ones use masks.
+#: Groups up to this size compare all their values; larger ones are dealt again by further bits.
 DIRECT = 1500
+#: A fingerprint of more rows than this is told its component by a broadcast: there can't be many such.
+HOT_ROWS = 1 << 20
+MOST_BROADCAST = 100_000
 
 
 def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
@@ -67,24 +75,30 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, fp bigint): fp is the fingerprint as a signed 64-bit integer."""
     ship_package(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema.fields[place(docs, key)].dataType.simpleString()
 
     def run(batches):
         for batch in batches_of(batches):
             got = np.array([fingerprint(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["key", "fp"])
 
-    return docs.select(F.col(key).alias("key"), text_of(text).alias("text")).mapInArrow(run, f"key {kind}, fp bigint").withColumnRenamed("key", key)
+    return columns_of(docs, key=key, text=text).mapInArrow(run, f"key {kind}, fp bigint").withColumnRenamed("key", key)
 
 
-def block_masks(distance: int = DISTANCE, agree: int = 3) -> list[int]:
-    """Bit masks of every choice of ``agree`` blocks out of ``distance + agree``."""
+def block_masks(distance: int = DISTANCE, agree: int = 3, bits: list[int] | None = None) -> list[int]:
+    """Bit masks of every choice of ``agree`` blocks out of ``distance + agree``, cut from ``bits`` (all 64)."""
+    bits = list(range(64)) if bits is None else bits
     n = distance + agree
-    edges = [64 * i // n for i in range(n + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    edges = [len(bits) * i // n for i in range(n + 1)]
+    blocks = [sum(1 << b for b in bits[a:z]) for a, z in zip(edges, edges[1:])]
     return [sum(c) for c in combinations(blocks, agree)]
 
 
+def finer_masks(mask: int, distance: int = DISTANCE) -> list[int]:
+    """``mask`` with each choice of two of the blocks that its free bits are cut into."""
+    return [mask | m for m in block_masks(distance, 2, [b for b in range(64) if not mask >> b & 1])]
+
+
 def _find(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -92,92 +106,96 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def link_group(values: np.ndarray, mask: int, distance: int = DISTANCE, direct: int = DIRECT) -> list[tuple[int, int]]:
-    """A spanning forest (pairs of places) of the values at most ``distance`` bits apart.
-
-    ``values`` are distinct and agree on the bits of ``mask``. Small groups compare every
-    value with those after it. In large ones, each set of ``distance`` of the free bits is
-    cleared in turn: values that become equal are within the distance, and are linked to the
-    first of them, so work grows with the size of the group and not with its square.
-    """
-    n = len(values)
-    parent = list(range(n))
+def link_group(values: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """A spanning forest (pairs of places) of the values at most ``distance`` bits apart: every value is compared
+    with those after it."""
+    parent = list(range(len(values)))
     out = []
-
-    def link(i: int, j: int) -> None:
-        a, b = _find(parent, i), _find(parent, j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((i, j))
-
-    if n <= direct:
-        for i in range(n - 1):
-            near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= distance)
-            for j in near.tolist():
-                link(i, i + 1 + j)
-        return out
-    free = [b for b in range(64) if not mask >> b & 1]
-    for chosen in combinations(free, distance):
-        clear = np.uint64(~sum(1 << b for b in chosen) & ((1 << 64) - 1))
-        left = values & clear
-        order = np.argsort(left, kind="stable")
-        left = left[order]
-        same = np.flatnonzero(left[1:] == left[:-1])
-        for k in same.tolist():
-            link(int(order[k]), int(order[k + 1]))
+    for i in range(len(values) - 1):
+        near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= distance)
+        for j in near.tolist():
+            a, b = _find(parent, i), _find(parent, i + 1 + j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((i, i + 1 + j))
     return out
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b): links between nodes (fp, node) of distinct fp, enough to connect all that are close."""
-    ship_package(nodes.sparkSession)
-    masks = block_masks(distance)
-    keyed = nodes.select(
-        "fp", "node", F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(masks)))).alias("k")
-    ).select("k.choice", "k.part", "fp", "node")
-    dealt = keyed.repartition("choice", "part").sortWithinPartitions("choice", "part", "fp")
+def _keyed(nodes: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """Nodes (fp, node) once per mask (number, bits), dealt and sorted by what the mask leaves of fp."""
+    parts = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in masks))
+    rows = nodes.select("fp", "node", F.explode(parts).alias("k")).select("k.choice", "k.part", "fp", "node")
+    return rows.repartition("choice", "part").sortWithinPartitions("choice", "part", "fp")
+
+
+def _link_groups(dealt: DataFrame, distance: int, most: int | None) -> DataFrame:
+    """(a, b) links within groups of equal (choice, part); of a group with more than ``most`` values rows
+    (choice, a: fp, b: node) leave instead, as they come. A link's choice is -1."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        last = None
+        last, size = None, 0
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def table():
+            choice = np.concatenate([np.full(len(a), c, np.int32) for c, a, _ in out] or [np.zeros(0, np.int32)])
+            a, b = (np.concatenate([x[i] for x in out] or [np.zeros(0, np.int64)]) for i in (1, 2))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(choice), pa.array(a), pa.array(b)], ["choice", "a", "b"])
+
+        def defer():
+            out.extend((last[0], values.view(np.int64), ids) for values, ids in held)
+            held.clear()
 
         def close():
-            if last is None or sum(len(v) for v, _ in held) < 2:
-                return []
-            values, ids = (np.concatenate(x) for x in zip(*held))
-            return [(int(ids[i]), int(ids[j])) for i, j in link_group(values, masks[last[0]], distance)]
+            if most is not None and size > most:
+                defer()
+            elif size > 1:
+                values, ids = (np.concatenate(x) for x in zip(*held))
+                pairs = np.array(link_group(values, distance), np.int64).reshape(-1, 2)
+                if len(pairs):
+                    out.append((-1, ids[pairs[:, 0]], ids[pairs[:, 1]]))
 
         for batch in batches:
             choice, part, fp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             n = len(fp)
             if not n:
                 continue
-            pairs: list[tuple[int, int]] = []
             starts = np.concatenate(([0], np.flatnonzero((choice[1:] != choice[:-1]) | (part[1:] != part[:-1])) + 1))
             ends = np.append(starts[1:], n)
             fp = fp.view(np.uint64)
-            first = (int(choice[0]), int(part[0]))
-            if first != last:
-                pairs += close()
-                held, last = [], first
-            # Groups of one row inside the batch have nothing to link.
             for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-                inner = 0 < k < len(starts) - 1
-                if inner and b - a == 1:
+                # Groups of one row inside the batch have nothing to link.
+                if 0 < k < len(starts) - 1 and b - a == 1:
                     continue
-                if k:
-                    pairs += close()
-                    held, last = [], (int(choice[a]), int(part[a]))
+                own = (int(choice[a]), int(part[a]))
+                if own != last:
+                    close()
+                    held, last, size = [], own, 0
                 held.append((fp[a:b].copy(), node[a:b].copy()))
-            yield _pairs(pairs)
-        yield _pairs(close())
+                size += b - a
+                if most is not None and size > most:
+                    defer()
+            yield table()
+        close()
+        yield table()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, "choice int, a bigint, b bigint")
 
 
-def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    got = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+def links(nodes: DataFrame, distance: int = DISTANCE, direct: int = DIRECT) -> DataFrame:
+    """(a, b): links between nodes (fp, node) of distinct fp, enough to connect all that are close."""
+    ship_package(nodes.sparkSession)
+    masks = block_masks(distance)
+    first = stash(_link_groups(_keyed(nodes, list(enumerate(masks))), distance, direct), "links")
+    finer = list(enumerate(m for mask in masks for m in finer_masks(mask, distance)))
+    many = len(finer) // len(masks)
+    later = first.where("choice >= 0").select(F.col("a").alias("fp"), F.col("b").alias("node"), "choice")
+    # A deferred value goes to the finer masks of its own choice only.
+    parts = F.array(*(F.struct(F.lit(i).alias("fine"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in finer))
+    again = later.select("fp", "node", F.explode(F.slice(parts, F.col("choice") * many + 1, many)).alias("k")).select(F.col("k.fine").alias("choice"), "k.part", "fp", "node")
+    second = _link_groups(again.repartition("choice", "part").sortWithinPartitions("choice", "part", "fp"), distance, None)
+    return first.where("choice < 0").select("a", "b").union(second.select("a", "b"))
 
 
 def _signed(x: int) -> int:
@@ -187,13 +205,19 @@ def _signed(x: int) -> int:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, distance: int = DISTANCE) -> DataFrame:
     """One row per document: key, fp, component_id (the smallest key that can be reached)."""
     prints = stash(fingerprints(docs, key, text, width), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min(key).alias("node"))
+    nodes = stash(prints.groupBy("fp").agg(F.min(key).alias("node"), F.count("*").alias("n")), "distinct-fingerprints")
     edges = links(nodes.select("fp", F.col("fp").alias("node")), distance)
     roots = components(edges)  # between fingerprints
-    named = nodes.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "node", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "node", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("node").alias("component_id"))
-    verdict = named.join(least, "root").select("fp", "component_id")
-    return prints.join(verdict, "fp").select(key, "fp", "component_id")
+    verdict = named.join(least, "root").select("fp", "component_id", "n")
+    hot = nodes.where(F.col("n") > HOT_ROWS).select("fp")
+    most = hot.limit(MOST_BROADCAST + 1).count()
+    if not 0 < most <= MOST_BROADCAST:  # none, or too many to broadcast: then adaptive execution splits them
+        return prints.join(verdict.drop("n"), "fp").select(key, "fp", "component_id")
+    told = F.broadcast(verdict.where(F.col("n") > HOT_ROWS).drop("n"))
+    rest = prints.join(F.broadcast(hot), "fp", "left_anti").join(verdict.where(F.col("n") <= HOT_ROWS).drop("n"), "fp")
+    return prints.join(told, "fp").select(key, "fp", "component_id").unionByName(rest.select(key, "fp", "component_id"))
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -206,6 +230,7 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     Rows that share an id stay or go together; rows without an id can't be told apart and all stay.
     """
-    stays = near_duplicates(docs, key, text).groupBy("component_id").agg(F.count("*").alias("__n")).select(F.col("component_id").alias("__keep"))
-    named = docs.join(stays, F.col(key) == F.col("__keep"), "left_semi")
-    return named.unionByName(docs.where(F.col(key).isNull()))
+    own, at = numbered(docs), f"c{place(docs, key)}"
+    plain = own.select(F.col(at).alias("key"), F.col(f"c{place(docs, text)}").alias("text"))
+    stays = near_duplicates(plain, "key", "text").where("component_id is not null").select(F.col("component_id").alias("stays")).distinct()
+    return own.join(stays, F.col(at) == F.col("stays"), "left_semi").unionByName(own.where(F.col(at).isNull())).toDF(*docs.columns)

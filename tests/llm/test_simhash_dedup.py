@@ -42,13 +42,46 @@ def test_report(docs, rows, none):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*want.values(), None}
 
 
-def test_large_groups_are_linked_alike():
+def test_large_groups_are_dealt_again(spark):
     rng = np.random.default_rng(5)
     mask = H.block_masks()[3]
     free = [b for b in range(64) if not mask >> b & 1]
     base = 0x0123456789ABCDEF
-    values = np.unique(np.array([base ^ sum(1 << int(b) for b in rng.choice(free, int(rng.integers(0, 8)), replace=False)) for _ in range(500)], np.uint64))
-    assert classes(len(values), H.link_group(values, mask)) == classes(len(values), H.link_group(values, mask, direct=1))
+    values = np.unique(np.array([base ^ sum(1 << int(b) for b in rng.choice(free, int(rng.integers(0, 8)), replace=False)) for _ in range(400)], np.uint64))
+    nodes = spark.createDataFrame([(H._signed(int(v)), i) for i, v in enumerate(values)], "fp bigint, node bigint").repartition(3)
+    want = classes(len(values), H.link_group(values))
+    for direct in (1, 20, 10_000):
+        found = H.links(nodes, direct=direct).collect()
+        assert all(bin(int(values[r["a"]]) ^ int(values[r["b"]])).count("1") <= 2 for r in found)
+        assert classes(len(values), [(r["a"], r["b"]) for r in found]) == want
+    assert len(set(want)) > 1
+
+
+def test_finer_masks_keep_close_pairs():
+    rng = np.random.default_rng(6)
+    for mask in H.block_masks():
+        free = [b for b in range(64) if not mask >> b & 1]
+        finer = H.finer_masks(mask)
+        assert all(bin(m).count("1") >= 50 for m in finer)
+        for _ in range(50):
+            gap = sum(1 << int(b) for b in rng.choice(free, 2, replace=False))
+            assert any(not gap & m for m in finer)
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c d" if i % 2 else f"text {i} of its own") for i in range(40)], "doc_id bigint, text string")
+    want = sorted(map(str, H.fingerprint_report(docs).collect()))
+    monkeypatch.setattr(H, "HOT_ROWS", 5)
+    assert sorted(map(str, H.fingerprint_report(docs).collect())) == want
+    monkeypatch.setattr(H, "MOST_BROADCAST", 0)
+    assert sorted(map(str, H.fingerprint_report(docs).collect())) == want
+
+
+def test_clashing_names(spark):
+    names = "`doc_id` bigint, `text` string, `__keep` int, `a.b` string, `fp` int, `component_id` int, `key` int"
+    docs = spark.createDataFrame([(1, "one two three four", 1, "x", 1, 1, 1), (2, "one two three four", 2, "y", 2, 2, 2), (3, None, 3, "", 3, 3, 3)], names)
+    kept = H.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
 def test_blocks_find_every_close_pair(spark):
@@ -70,3 +103,12 @@ def test_components_of_a_long_path(spark):
     got = {r["a"]: r["b"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 301)} | {2000: 1000}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(500, i) for i in range(501, 560)] + [(600, i) for i in range(561, 600)]
+    nodes = sorted({x for p in pairs for x in p})
+    root = classes(len(nodes), [(nodes.index(a), nodes.index(b)) for a, b in pairs])
+    got = {r["a"]: r["b"] for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {n: nodes[r] for n, r in zip(nodes, root) if nodes[r] != n}
