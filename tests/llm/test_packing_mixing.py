@@ -94,6 +94,29 @@ def test_mix(docs, rows, none):
     assert M.mix(none).count() == 0 and M.take(none).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(8)
+    for n in (0, 1, 2, 40, 700):
+        totals = [(f"site{i:04d}" if i else None, rng.choice([0, 1, 5, 300, 20_000, rng.randrange(1_000_000)])) for i in range(n)]
+        got = {r["src"]: r for r in M.targets(spark.createDataFrame(totals, "src string, source_size bigint").repartition(5)).collect()}
+        order = sorted(totals, key=lambda x: (x[0] is None, x[0] or ""))
+        want = M.water_fill(1.5 * sum(x for _, x in order), [M.WEIGHTS[i % 3] for i in range(n)], [2 * x for _, x in order])
+        assert len(got) == n
+        for (s, size), t in zip(order, want):
+            assert abs(got[s]["target"] - t) <= 1e-6 * max(1, t) and got[s]["offset"] == M.offset(s)
+            assert got[s]["each"] == (min(2 * M.UNIT, round(t / size * M.UNIT)) if size else 0)
+
+
+def test_ties_and_clashing_names(spark):
+    names = "`doc_id` bigint, `text` string, `source` string, `row` int, `a.b` string, `src` int, `pos` int, `key` int, `c0` int"
+    rows = [(i % 2, f"word{i} b c", "s", i, str(i), i, i, i, i) for i in range(30)] + [(None, None, None, 0, None, 0, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, names)
+    first = sorted(map(str, M.take(docs).collect()))
+    assert M.take(docs).columns == docs.columns
+    for n in (1, 3, 8):
+        assert sorted(map(str, M.take(docs.repartition(n)).collect())) == first
+
+
 def test_ranks_are_systematic(spark):
     docs = spark.createDataFrame([(i, "w " * (i + 1), "s") for i in range(40)], "doc_id bigint, text string, source string")
     got = sorted(M.mix(docs, total=0.4).collect(), key=lambda r: r["size"])
