@@ -11,14 +11,14 @@ SELECT doc_id, keep_id, group_size, kept, sha256(plain) AS text_sha256 FROM w JO
 
 OP5 = r"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+  SELECT conv_id, 0 AS origin, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 said AS (SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS shown FROM rows)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(concat('<|im_start|>', role, chr(10), shown, '<|im_end|>', chr(10)))) AS BIGINT) AS formatted_chars
-FROM said GROUP BY conv_id
+FROM said GROUP BY conv_id, origin
 """
 
 OP8 = r"""

@@ -34,22 +34,51 @@ def test_round_trip_and_sharing(spark):
         assert got[c]["n_turns"] == len(turns)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    for p in packs.collect():
-        assert len(p["ids"]) == len(p["position_ids"])
-        for n in p["nodes"]:
-            # Attention covers exactly the tokens of the path, and positions count along it.
-            path, node = [], n
-            while True:
-                path = [*range(node["start"], node["end"]), *path]
-                if node["parent"] < 0:
-                    break
-                node = p["nodes"][node["parent"]]
-            assert [i for a in n["attends"] for i in range(a["start"], a["end"])] == path
-            assert [p["position_ids"][i] for i in path] == list(range(len(path)))
+    check_packs(packs)
     whole = C.format_conversations(rows).selectExpr("sum(size(nodes)) n", "sum(size(conversations)) c").first()
     assert whole["c"] == len(made) and whole["n"] < sum(map(len, made.values())) / 2
 
 
+def check_packs(packs):
+    """Attention covers exactly the tokens of each node's path, over all packs, and positions count along it."""
+    rows = {(p["range"], p["pack"]): p for p in packs.collect()}
+    for (part, number), p in rows.items():
+        assert len(p["ids"]) == len(p["position_ids"])
+        for i, n in enumerate(p["nodes"]):
+            path, at = [], (number, i)
+            while at[1] >= 0:
+                node = rows[part, at[0]]["nodes"][at[1]]
+                path = [(at[0], t) for t in range(node["start"], node["end"])] + path
+                at = node["parent_pack"], node["parent"]
+            assert [(a["pack"], t) for a in n["attends"] for t in range(a["start"], a["end"])] == path
+            assert [rows[part, k]["position_ids"][t] for k, t in path] == list(range(len(path)))
+    return rows
+
+
+def test_long_shared_prompt_is_written_once(spark):
+    prompt = "follow these rules " * 3000
+    rows = [(i, t, r, x) for i in range(20) for t, (r, x) in enumerate([("system", prompt), ("user", "hello"), ("assistant", f"answer {i} " * 40)])]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        packs = C.format_conversations(table, pack_tokens=500)
+        made = check_packs(packs)
+        got = C.read_packs(packs.repartition(4)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    own = C.encoder(C.DEFAULT_TOKENIZER)
+    assert len(made) >= 5 and sum(len(p["ids"]) for p in made.values()) < len(own.whole(prompt)) + 20 * (len(own.whole(f"answer 19 " * 40)) + 40)
+    assert len(got) == 20 and all(r["n_turns"] == 3 and r["loss_chars"] == len(f"answer {r['conv_id']} " * 40) for r in got)
+
+
+def test_repeats_long_texts_and_an_own_minus_one(spark):
+    long_ = "x<|y\\ " * 100_000
+    rows = [(-1, 0, "user", "mine"), (-1, 1, "assistant", "yours"), (5, 0, "user", "a"), (5, 0, "user", "a"), (6, 0, "assistant", long_), (None, 0, None, None), (None, 0, None, None)]
+    table = spark.createDataFrame([(*r, 1, "z") for r in rows], "`conv_id` bigint, `turn` bigint, `role` string, `text` string, `origin` int, `a.b` string")
+    got = sorted(((r["conv_id"] or 0, r["n_turns"], r["loss_chars"]) for r in C.chat_report(table).collect()))
+    assert got == [(-1, 2, 5), (-1, 2, len(FAKE)), (0, 2, 0), (5, 2, 0), (6, 1, len(long_))]
+
+
 def test_report_and_empty(spark):
     made, rows = conversations(spark)
     assert C.chat_report(rows).count() == len(made) + 1
