@@ -18,9 +18,13 @@ Shards are written by tasks that hold one range of ids each, to the shared folde
 names that no other attempt uses; only the table of shards (one row each) says which files
 count, so lost executors and repeated attempts leave at most files that no one reads.
 
-Defined results: null text is empty, so its document holds the end id alone; rows that
-repeat an id are kept, one after another (by text); empty tables write no shard; other
-columns are ignored.
+Rows are dealt by ranges of (id, hash of the text, row), so that an id shared by a third of
+all rows (null, say) spreads over many shards.
+
+Defined results: null text is empty, so its document holds the end id alone; texts are
+encoded whole, however long; ids are integers (other types are refused); rows that repeat an
+id are kept, one after another (by a hash of the text); empty tables write no shard; other
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.shared import batches_of, scratch_path, stash, text_of
+from gleanery.llm.shared import batches_of, columns_of, integer_column, scratch_path, stash
 from gleanery.llm.token_codec import DEFAULT_TOKENIZER, encoder
 from gleanery.session import ship_package
 
@@ -214,46 +218,48 @@ class ShardReader:
 
 def write_shards(docs: DataFrame, folder: str | None = None, key: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER, end: int = END) -> DataFrame:
     """Encode every text, write shards under ``folder`` (default: a new one in the shared folder), and
-    return the table of shards: path, first_id, n_docs, n_tokens, start (ids in all shards before)."""
+    return the table of shards: path, first_id, last_id, n_docs, n_tokens, start (ids in all shards before)."""
+    integer_column(docs, key)
     spark = ship_package(docs.sparkSession)
     folder = (folder or scratch_path(spark, "shards")).rstrip("/")
     store, inside = fs.FileSystem.from_uri(folder)
     store.create_dir(inside, recursive=True)
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), text_of(text).alias("text"))
-    ranged = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    rows = columns_of(docs, key=key, text=text).select(F.col("key").cast("bigint").alias("key"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"), "text")
+    order = (F.col("key").asc_nulls_first(), "hash", "row")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def write(batches):
         own = encoder(tokenizer)
         kind = own.kind if end < 1 << 16 else np.dtype("<u4")
         tail = end.to_bytes(kind.itemsize, "little")
-        writer, path, shards = None, None, []
+        writer, path, first, shards = None, None, None, []
         store, inside = fs.FileSystem.from_uri(folder)
 
         def done():
             if writer:
                 writer.close()
-                shards.append((path, id_of(writer.first), writer.docs, writer.ids))
+                shards.append((path, id_of(writer.first), *first, id_of(writer.last), writer.docs, writer.ids))
 
         for batch in batches_of(batches):
-            ids, offsets = own.encode(batch.column(1))
+            ids, offsets = own.encode(batch.column(3))
             raw, width, bounds = ids.astype(kind).tobytes(), kind.itemsize, offsets.tolist()
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                k = key_of(doc_id)
-                # A new shard begins only between different ids, so that order among shards is that of first ids.
-                if writer is None or writer.at > SHARD_BYTES and k != writer.last:
+            for i, (doc_id, *tie) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if writer is None or writer.at > SHARD_BYTES:
                     done()
+                    first = tie
                     name = f"shard-{uuid.uuid4().hex}.sst"
                     path = f"{folder}/{name}"
                     writer = ShardWriter(store.open_output_stream(f"{inside}/{name}"), width)
-                writer.add(k, raw[bounds[i] * width : bounds[i + 1] * width] + tail)
+                writer.add(key_of(doc_id), raw[bounds[i] * width : bounds[i + 1] * width] + tail)
         done()
-        columns = list(zip(*shards)) if shards else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["path", "first_id", "n_docs", "n_tokens"])
+        columns = list(zip(*shards)) if shards else [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
-    table = stash(ranged.mapInArrow(write, "path string, first_id bigint, n_docs bigint, n_tokens bigint"), "shard-table")
+    names = ["path", "first_id", "first_hash", "first_row", "last_id", "n_docs", "n_tokens"]
+    table = stash(ranged.mapInArrow(write, "path string, " + ", ".join(f"{n} bigint" for n in names[1:])), "shard-table")
     # One row per shard goes through this window, none per document.
-    before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    return table.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash", "first_row").rowsBetween(Window.unboundedPreceding, -1)
+    return table.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).drop("first_hash", "first_row")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -284,20 +290,23 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def lookup(shards: DataFrame, ids: list[int]) -> dict[int, np.ndarray]:
-    """Token ids of some documents, by footer, Bloom filter, binary search and one block each."""
-    table = sorted(((r["first_id"], r["path"]) for r in shards.select("first_id", "path").collect()), key=lambda x: (x[0] is not None, x[0] or 0))
-    firsts = [key_of(k) for k, _ in table]
-    readers: dict[str, ShardReader] = {}
+    """Token ids of some documents, by footer, Bloom filter, binary search and one block each.
+
+    Only the shards whose range holds one of the ids reach the driver.
+    """
+    asked = F.array(*map(F.lit, {x for x in ids if x is not None})).cast("array<bigint>")
+    may = F.exists(asked, lambda x: (F.coalesce(F.col("first_id"), F.lit(-1 << 63)) <= x) & (x <= F.col("last_id")))
+    if None in ids:
+        may = F.coalesce(may, F.lit(False)) | F.col("first_id").isNull()
+    table = shards.where(may).orderBy("start").select("path", "first_id", "last_id").collect()
     out = {}
-    for doc_id in ids:
-        at = bisect.bisect_right(firsts, key_of(doc_id)) - 1
-        if at >= 0:
-            path = table[at][1]
-            reader = readers.setdefault(path, readers.get(path) or ShardReader(path))
-            if (got := reader.get(doc_id)) is not None:
-                out[doc_id] = got
-    for reader in readers.values():
-        reader.close()
+    for path, first, last in table:
+        here = [x for x in ids if x not in out and key_of(first) <= key_of(x) <= key_of(last)]
+        if here:
+            reader = ShardReader(path)
+            got = ((x, reader.get(x)) for x in here)
+            out.update((x, found) for x, found in got if found is not None)
+            reader.close()
     return out
 
 

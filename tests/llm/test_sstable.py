@@ -1,6 +1,8 @@
 import struct
 import zlib
 
+import pytest
+
 from gleanery.llm import sstable as T
 from gleanery.llm.token_codec import DEFAULT_TOKENIZER, encoder
 
@@ -19,6 +21,21 @@ def test_round_trip(docs, rows, none):
     assert T.read_shards(T.write_shards(none)).count() == 0
 
 
+def test_one_id_spreads_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(T, "SHARD_BYTES", 0)
+    docs = spark.createDataFrame([(None if i % 3 else i, f"text {i % 50} " * 300, 1, "x") for i in range(400)] + [(7, "same", 1, "y")] * 40, "`doc_id` bigint, `text` string, `key` int, `a.b` string")
+    shards = T.write_shards(docs.repartition(3))
+    assert shards.where("first_id is null").count() > 1
+    got = sorted(T.read_shards(shards).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in docs.collect()), key=lambda x: (x is not None, x or 0))
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+    found = T.lookup(shards, [None, 0, 7, 399, 400])
+    own = encoder(DEFAULT_TOKENIZER)
+    assert found.keys() == {None, 0, 7, 399} and list(found[7]) == [*own.whole("same"), 2]
+    with pytest.raises(TypeError):
+        T.write_shards(docs.withColumn("doc_id", docs.text))
+
+
 def test_blocks_and_bloom(tmp_path):
     path = str(tmp_path / "x.sst")
     w = T.ShardWriter(open(path, "wb"), 2)
