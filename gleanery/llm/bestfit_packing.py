@@ -10,9 +10,9 @@ Items are dealt evenly by hash to shards of about ``per_shard`` items, whose siz
 distributed alike; each shard is packed on its own, in one streaming pass over its items
 sorted by length. A shard wastes about one bin, whatever the size of the input.
 
-Defined results: null text is an empty document of one token (the end); repeated rows are
-packed as often as they occur; ties in length are broken by row; empty tables give no rows;
-other columns are ignored.
+Defined results: null text is an empty document of one token (the end); texts are encoded
+whole, however long; repeated rows are packed as often as they occur; ties in length are
+broken by row; empty tables give no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.shared import batches_of, stash, text_of
+from gleanery.llm.shared import batches_of, columns_of, place, stash
 from gleanery.llm.token_codec import DEFAULT_TOKENIZER, encoder
 from gleanery.session import ship_package
 
@@ -74,7 +74,7 @@ class SumOfSquares:
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: row (unique), key, piece, start, length, ids_crc32, and ids if asked for."""
     ship_package(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema.fields[place(docs, key)].dataType.simpleString()
 
     def run(batches):
         own = encoder(tokenizer)
@@ -103,7 +103,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), text_of(text).alias("text"))
+    rows = columns_of(docs, key=key, text=text).select(F.monotonically_increasing_id().alias("row"), "key", "text")
     shape = f"row bigint, key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return rows.mapInArrow(run, shape).withColumnRenamed("key", key)
 

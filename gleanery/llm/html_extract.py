@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.shared import batches_of, text_of
+from gleanery.llm.shared import batches_of, columns_of, place
 from gleanery.session import ship_package
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|</?[A-Za-z][^>]*(?:>|\Z)""", re.S)
@@ -396,12 +396,12 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:
     """One row per page: key, url, text, n_chars."""
     ship_package(pages.sparkSession)
-    kind = pages.schema[key].dataType.simpleString()
+    kind = pages.schema.fields[place(pages, key)].dataType.simpleString()
 
     def run(batches):
         for batch in batches_of(batches):
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["key", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), text_of(html_column).alias("html"))
+    rows = columns_of(pages, key=key, url=url, text=html_column).withColumn("url", F.col("url").cast("string"))
     return rows.mapInArrow(run, f"key {kind}, url string, text string, n_chars bigint").withColumnRenamed("key", key)

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.shared import text_of
+from gleanery.llm.shared import columns_of
 
 #: What the licences of each family are called.
 NAMES: dict[str, tuple[str, ...]] = {
@@ -328,7 +328,7 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", model:
     names = _constant(list(model.families), "array<string>")
     forms = _constant(templates(), "map<string,array<array<string>>>")
 
-    rows = docs.select(F.col(key).alias("key"), F.split(text_of(text), BREAK, -1).alias("parts"))
+    rows = columns_of(docs, key=key, text=text).select("key", F.split("text", BREAK, -1).alias("parts"))
     # Words of every paragraph, then those grams that the model or a template knows. Most paragraphs have none.
     steps = (
         ("held", f"""filter(transform(transform(parts, p -> regexp_extract_all(lower(p), '{WORD.replace(chr(92), chr(92) * 2)}', 0)), (w, i) -> named_struct(

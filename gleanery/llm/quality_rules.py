@@ -15,8 +15,10 @@ of the id; the rest add nothing to the model). Counts over the raw corpus cover
 of every document; they are ``buckets`` numbers whatever the input.
 
 Defined results: null text has no words (and fails the base rules); without any usable
-label (or with one class only) the verdict is that of the base rules; ties at the threshold
-are kept; repeated rows are judged alike; other columns are ignored.
+label (or with one class only) the verdict is that of the base rules; texts are read whole,
+however long; ties at the threshold are kept; repeated rows are judged alike, and a document
+that labels name twice counts with its worst label; empty tables give no rows; other columns
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.shared import WHITE_CHARS, batches_of, take_cache, text_of
+from gleanery.llm.shared import WHITE_CHARS, batches_of, columns_of, numbered, place, take_cache
 from gleanery.session import ship_package
 
 BUCKETS = 1 << 16
 MAX_LABELLED = 20_000
 #: Share of labelled good documents that the threshold must spare.
 SPARE = 0.998
+#: Counts by which the estimated ratio of every n-gram is drawn towards one.
+EVEN = 1.0
 #: Characters counted as symbols (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
 _DIGITS = bytes.maketrans(b"123456789", b"000000000")
@@ -112,7 +116,7 @@ def base_failed(f: Features) -> bool:
 
 @dataclass(frozen=True)
 class Model:
-    """weights[b] = log p_target(b) - log p_raw(b); a document passes with a mean of ``threshold`` or more."""
+    """weights[b] = log p_target(b) - log p_raw(b), smoothed; a document passes with a mean of ``threshold`` or more."""
 
     weights: np.ndarray
     threshold: float
@@ -128,7 +132,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, most: int
     sample = unique.where("quality is not null").orderBy(F.xxhash64("id"), "id").limit(most)
     chosen = sample.select("id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"), (F.col("quality") == 0).alias("bad"))
     # At most ``most`` rows of 10 bytes: small enough to broadcast by construction.
-    return docs.select(F.col(key).alias("id"), text_of(text).alias("text")).join(F.broadcast(chosen), "id")
+    return columns_of(docs, id=key, text=text).join(F.broadcast(chosen), "id")
 
 
 def _counts(rows: DataFrame, buckets: int) -> np.ndarray:
@@ -159,17 +163,16 @@ def _counts(rows: DataFrame, buckets: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, most: int = MAX_LABELLED, spare: float = SPARE) -> Model:
     """Weights from all documents and the trusted ones; the threshold from labelled documents held out."""
     ship_package(docs.sparkSession)
-    rows = docs.select(text_of(text).alias("text"))
+    rows = columns_of(docs, text=text)
     raw = _counts(rows, buckets)
     labelled = _labelled(docs, labels, key, text, most).withColumn("held", F.xxhash64("id", F.lit(7)) % 2 == 0).persist()
     try:
         target = _counts(labelled.where("good and not held").select("text"), buckets)
         if not target.sum() or not raw.sum():
             return Model(np.zeros(buckets), 0.0)
-        smooth = 1.0
-        weights = np.log((target + smooth) / (target.sum() + smooth * buckets)) - np.log((raw + smooth) / (raw.sum() + smooth * buckets))
-        # Few target counts say little: shrink what is known from few n-grams towards zero.
-        weights *= raw / (raw + 50.0)
+        # log p_target / p_raw, with ``EVEN`` counts on either side that say "as in the raw corpus": an n-gram that
+        # the target could hardly be expected to hold says little by its absence.
+        weights = np.log((target + EVEN) / (target.sum() * raw / raw.sum() + EVEN))
         share = labelled.sparkSession.sparkContext.broadcast(weights)
 
         def score(batches):
@@ -202,7 +205,7 @@ def _threshold(scores: np.ndarray, good: np.ndarray, spare: float) -> float:
 def judge(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: base features, base_failed, score, kept."""
     ship_package(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema.fields[place(docs, key)].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -220,14 +223,14 @@ def judge(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["key", *names, "base_failed", "score", "kept"])
 
     shape = f"key {kind}, " + ", ".join(f"{n} bigint" for n in names) + ", base_failed boolean, score double, kept boolean"
-    return docs.select(F.col(key).alias("key"), text_of(text).alias("text")).mapInArrow(run, shape).withColumnRenamed("key", key)
+    return columns_of(docs, key=key, text=text).mapInArrow(run, shape).withColumnRenamed("key", key)
 
 
 def filter_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that the rules keep, with all their columns, in one pass over the rows."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
+    at = place(docs, text)
 
     def run(batches):
         model = shared.value
@@ -238,7 +241,8 @@ def filter_documents(docs: DataFrame, model: Model, text: str = "text") -> DataF
                 keep.append(not base_failed(base_features(text_ or "", words)) and model.score(words) >= model.threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    own = numbered(docs)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def plain_features(text: str | None) -> tuple[int, int, int, int, int, bool]:

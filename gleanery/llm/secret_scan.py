@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.shared import batches_of, text_of
+from gleanery.llm.shared import batches_of, columns_of, place
 from gleanery.session import ship_package
 
 try:  # the parser of the standard library; its old name before Python 3.11
@@ -249,8 +249,8 @@ def find_spans(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[t
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: ``key`` and ``findings`` array<struct<kind, start, end>> (code points, end exclusive)."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    kind = docs.schema[key].dataType.simpleString()
+    rows = columns_of(docs, key=key, text=text)
+    kind = docs.schema.fields[place(docs, key)].dataType.simpleString()
     names = [r.kind for r in rules]
 
     def scan(batches):
