@@ -15,11 +15,15 @@ _own: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a folder is made here.
+    Only on one machine (a local master, as in tests) a folder is made here if none is named; on a
+    cluster a machine's own folder would lose tables, so that is refused.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="gleanery-"))
         spark.sparkContext.setCheckpointDir(_own[0])
@@ -35,13 +39,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def mark() -> int:
+    """Where the list of scratch paths ends now; for :func:`drop_since`."""
+    return len(_made)
+
+
+def drop_since(start: int, *keep: str) -> None:
+    """Remove the scratch tables made since :func:`mark`: their readers are done, or are those of ``keep``."""
+    for spark, path in [x for x in _made[start:] if x[1] not in keep]:
+        drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
+    _made[:] = [x for x in _made if x[1] != path]
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _sweep() -> None:
-    for spark, path in _made:
+    for spark, path in list(_made):
         try:
             drop_path(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
