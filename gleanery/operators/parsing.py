@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,53 +36,50 @@ def image_stubs(pages: DataFrame, least: int = 80) -> DataFrame:
     return rows.select("doc_id", "page", "text_len", F.lit("page_image_stub").alias("unit_type"))
 
 
-def _levels(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "doc_id", "page", "ord", T.normalize_text(F.col("line")).alias("line"),
-        T.heading_level(F.col("line")).isNotNull().alias("heading"), F.length(T.compact(F.col("line"))).alias("size"),
-    )
+#: Words of lines that belong to a metric though they hold no value, and that stand for a value.
+LABELS = ("调整后", "调整前", "同期增减", "本期比上年", "本年比上年", "第一季度", "第二季度", "第三季度", "第四季度", "不适用", "适用", "不实施", "不以")
+NO_VALUE = ("不实施", "不以", "不送红股")
 
 
-def field_lines(lines: DataFrame, metrics: dict[str, list[str]], ahead: int = 9, kept: str = r"调整后|调整前|同期增减|本期比上年|本年比上年|第一季度|第二季度|第三季度|第四季度|不适用|适用|不实施|不以", plain: tuple[str, ...] = ("不实施", "不以", "不送红股")) -> DataFrame:
+def field_lines(lines: DataFrame, metrics: dict[str, list[str]], ahead: int = 9, labels: tuple[str, ...] = LABELS, plain: tuple[str, ...] = NO_VALUE, short: int = 22, least: int = 8) -> DataFrame:
     """Lines (doc_id, page, ord, line) that name a metric, with the values in up to ``ahead`` lines after them:
-    (doc_id, page, ord, metric, raw_metric, text).
+    (doc_id, page, ord, metric, raw_metric, text, unit).
 
-    Lines that a unit has taken start no other, so this is a cursor over a page's lines and runs as Python
-    on one page at a time.
+    Each line sees the ``ahead`` lines after it through a window. A run of them belongs to it: up to a heading, or a
+    line (not the very next) that names a metric and no value; of the run, lines with a value, a year, a label, or
+    ``short`` characters at most are taken. What comes out as a unit has a value (or a word for none). Units are
+    chosen in order: the next one begins no earlier than the last line but one that the run before it looked at.
     """
-    names = sorted({a for m, al in metrics.items() for a in al}, key=len, reverse=True)
-    of = {a: m for m, al in reversed(list(metrics.items())) for a in al}
-    metric, value, year, label = re.compile("|".join(map(re.escape, names))), re.compile(T.VALUE), re.compile(T.YEAR), re.compile(kept)
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values("ord").to_dict("records")
-        out, i = [], 0
-        while i < len(rows):
-            found = metric.search(rows[i]["line"])
-            if not found:
-                i += 1
-                continue
-            taken, j = [rows[i]["line"]], i + 1
-            while j < min(len(rows), i + 1 + ahead):
-                row = rows[j]
-                if row["line"]:
-                    other = j > i + 1 and metric.search(row["line"]) and not value.search(row["line"])
-                    if row["heading"] or other:
-                        break
-                    if value.search(row["line"]) or year.search(row["line"]) or label.search(row["line"]) or row["size"] <= 22:
-                        taken.append(row["line"])
-                j += 1
-            text = "；".join(taken)
-            if (value.search(text) or any(w in text for w in plain)) and len("".join(text.split())) >= 8:
-                out.append((rows[i]["doc_id"], rows[i]["page"], rows[i]["ord"], of[found[0]], found[0], text))
-                i = max(i + 1, j - 1)
-            else:
-                i += 1
-        return pd.DataFrame(out, columns=["doc_id", "page", "ord", "metric", "raw_metric", "text"])
-
-    doc = lines.schema["doc_id"].dataType.simpleString()
-    units = _levels(lines).groupBy("doc_id", "page").applyInPandas(run, f"doc_id {doc}, page bigint, ord bigint, metric string, raw_metric string, text string")
-    return units.withColumn("unit", infer_unit(F.col("text")))
+    names = sorted({a for al in metrics.values() for a in al}, key=lambda a: (-len(a), a))
+    metric_pattern = "|".join(f"\\Q{a}\\E" for a in names)
+    of = F.create_map(*(F.lit(x) for a in names for x in (a, next(m for m, al in metrics.items() if a in al))))
+    page = Window.partitionBy("doc_id", "page").orderBy("ord")
+    line = F.col("line")
+    seen = lines.select(
+        "doc_id", "page", "ord", T.normalize_text(line).alias("line"), T.heading_level(line).isNotNull().alias("heading"), F.length(T.compact(line)).alias("size"),
+    ).withColumn("raw_metric", F.regexp_extract("line", metric_pattern, 0)).withColumn("valued", line.rlike(T.VALUE))
+    about = F.struct(
+        "line", (line != "").alias("said"), ((line != "") & F.col("heading")).alias("heading"), ((F.col("raw_metric") != "") & ~F.col("valued")).alias("other"),
+        (F.col("valued") | line.rlike(T.YEAR) | T.contains_any(line, labels) | (F.col("size") <= short)).alias("kept"),
+    )
+    near = seen.withColumn("place", F.row_number().over(page)).withColumn("near", F.collect_list(about).over(page.rowsBetween(1, ahead))).where("raw_metric != ''")
+    # The first line that ends the run, counted from 1; behind the last one if none does.
+    ends = F.array_position(F.transform("near", lambda x, i: x["heading"] | ((i > 0) & x["said"] & x["other"])), True)
+    run = near.withColumn("stop", F.when(ends > 0, ends).otherwise(F.size("near") + 1).cast("int"))
+    taken = F.transform(F.filter(F.slice("near", F.lit(1), F.col("stop") - 1), lambda x: x["said"] & x["kept"]), lambda x: x["line"])
+    units = run.withColumn("text", F.array_join(F.concat(F.array("line"), taken), "；"))
+    units = units.where((F.col("text").rlike(T.VALUE) | T.contains_any(F.col("text"), plain)) & (F.length(T.compact(F.col("text"))) >= least))
+    free = F.greatest(F.col("place") + 1, F.col("place") + F.col("stop") - 1).alias("free")
+    unit = F.struct("place", free, "ord", "raw_metric", "text")
+    # A page's units are few; the fold keeps those that begin where the one kept before them left off, or later.
+    pages = units.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(unit)).alias("units"))
+    kind = pages.schema["units"].dataType
+    chosen = F.aggregate(
+        "units", F.array().cast(kind),
+        lambda acc, u: F.when((F.size(acc) == 0) | (u["place"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["free"], F.lit(0))), F.concat(acc, F.array(u))).otherwise(acc),
+    )
+    flat = pages.select("doc_id", "page", F.explode(chosen).alias("u"))
+    return flat.select("doc_id", "page", "u.ord", F.element_at(of, F.col("u.raw_metric")).alias("metric"), "u.raw_metric", "u.text", infer_unit(F.col("u.text")).alias("unit"))
 
 
 def clean_paragraphs(paragraphs: DataFrame, noise: list[str], short: int = 50, least: int = 3) -> DataFrame:

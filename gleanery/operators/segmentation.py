@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from gleanery.functions import text as T
+from gleanery.operators.folds import scan
 
 
 def fixed_chunks(blocks: DataFrame, doc: str, text: str, size: int = 800, overlap: int = 100, *order: str) -> DataFrame:
@@ -45,26 +47,21 @@ def carry_forward(rows: DataFrame, doc: str, order: str, value: Column, name: st
 
 
 def section_tree(headings: DataFrame, doc: str) -> DataFrame:
-    """(doc, ord, level, title, path) of headings (doc, ord, level, title): a stack fold per document.
+    """(doc, ord, level, title, path) of headings (doc, ord, level, title): a stack carried from heading to heading.
 
     Levels at or below the new one are popped; a heading equal to the one it would stand under
     opens nothing, nor does one that repeats one of the last two entries.
     """
-    entry = "array<struct<level:int,title:string>>"
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("level").cast("int").alias("level"), "title"))), lambda x: x)
+    def step(stack: tuple[tuple[int, str], ...], level: int, title: str):
+        above = tuple(e for e in stack if e[0] < level)
+        if above and above[-1][1] == title:
+            stack = above
+        elif (level, title) not in stack[-2:]:
+            stack = (*above, (level, title))
+        return stack, " > ".join(t for _, t in stack if t)
 
-    def step(state, h):
-        stack = state["stack"]
-        kept = F.filter(stack, lambda e: e["level"] < h["level"])
-        top = F.try_element_at(kept, F.lit(-1))
-        twice = F.exists(F.slice(stack, F.greatest(F.size(stack) - 1, F.lit(1)), 2), lambda e: (e["level"] == h["level"]) & (e["title"] == h["title"]))
-        new = F.when(F.coalesce(top["title"] == h["title"], F.lit(False)), kept).when(twice, stack).otherwise(F.concat(kept, F.array(F.struct(h["level"].alias("level"), h["title"].alias("title")))))
-        path = F.array_join(F.transform(F.filter(new, lambda e: e["title"] != ""), lambda e: e["title"]), " > ")
-        return F.struct(new.alias("stack"), F.concat(state["paths"], F.array(path)).alias("paths"))
-
-    start = F.struct(F.array().cast(entry).alias("stack"), F.array().cast("array<string>").alias("paths"))
-    folded = headings.groupBy(doc).agg(rows.alias("h")).withColumn("paths", F.aggregate("h", start, step, lambda s: s["paths"]))
-    return folded.select(doc, F.posexplode("h").alias("i", "x"), "paths").select(doc, F.col("x.ord").alias("ord"), F.col("x.level").alias("level"), F.col("x.title").alias("title"), F.get("paths", F.col("i")).alias("path"))
+    rows = headings.select(doc, "ord", F.col("level").cast("int").alias("level"), F.coalesce("title", F.lit("")).alias("title"))
+    return scan(rows, [doc], ["ord"], ["level", "title"], tuple, step, "path", StringType())
 
 
 def section_spans(tree: DataFrame, doc: str, page: str = "ord") -> DataFrame:
@@ -74,17 +71,16 @@ def section_spans(tree: DataFrame, doc: str, page: str = "ord") -> DataFrame:
 
 def text_units(lines: DataFrame, *group: str, most: int = 1100, least: int = 8) -> DataFrame:
     """Lines (group..., ord, line) buffered into units: a unit ends once it is longer than ``most``."""
-    rows = F.array_sort(F.collect_list(F.struct("ord", "line")))
-
-    def step(state, x):
-        full = state["held"] > most
-        held = F.when(full, F.length(x["line"])).otherwise(state["held"] + F.length(x["line"]) + F.when(state["held"] > 0, 1).otherwise(0))
-        unit = state["unit"] + full.cast("int")
-        return F.struct(held.alias("held"), unit.alias("unit"), F.concat(state["units"], F.array(unit)).alias("units"))
-
-    start = F.struct(F.lit(0).alias("held"), F.lit(0).alias("unit"), F.array().cast("array<int>").alias("units"))
-    folded = lines.groupBy(*group).agg(rows.alias("rows")).withColumn("units", F.aggregate("rows", start, step, lambda s: s["units"]))
-    flat = folded.select(*group, F.posexplode("rows").alias("i", "x"), "units").select(*group, F.get("units", F.col("i")).cast("bigint").alias("unit"), F.col("x.ord").alias("ord"), F.col("x.line").alias("line"))
+    def step(state: tuple[int, int], size: int):
+        held, unit = state
+        if held > most:
+            state = size, unit + 1
+        else:
+            state = held + size + (held > 0), unit
+        return state, state[1]
+
+    rows = lines.select(*group, "ord", "line", F.length("line").alias("size"))
+    flat = scan(rows, list(group), ["ord"], ["size"], lambda: (0, 0), step, "unit", LongType())
     joined = flat.groupBy(*group, "unit").agg(F.min("ord").alias("first_ord"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return joined.where(F.length(T.compact(F.col("text"))) >= least)
 

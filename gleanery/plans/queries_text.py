@@ -107,9 +107,16 @@ def _levels_cte() -> str:
     return I.LINES_CTE + ", h AS (SELECT doc_id, ord, 1 + ord % 3 AS level, line AS title FROM lines WHERE length(line) < 60)"
 
 
-@query()
+@query(f"""WITH RECURSIVE {_levels_cte()}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM h),
+s AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, 0::BIGINT AS ord, 0::BIGINT AS level, '' AS title, []::STRUCT(l BIGINT, t VARCHAR)[] AS st FROM n
+  UNION ALL SELECT n.doc_id, n.k, n.ord, n.level, n.title, CASE
+    WHEN len(list_filter(s.st, lambda e: e.l < n.level)) > 0 AND list_filter(s.st, lambda e: e.l < n.level)[-1].t = n.title THEN list_filter(s.st, lambda e: e.l < n.level)
+    WHEN len(list_filter(s.st[-2:], lambda e: e.l = n.level AND e.t = n.title)) > 0 THEN s.st
+    ELSE list_append(list_filter(s.st, lambda e: e.l < n.level), {{'l': n.level, 't': n.title}}) END
+  FROM s JOIN n ON n.doc_id = s.doc_id AND n.k = s.k + 1)
+SELECT doc_id, ord, CAST(level AS INT) AS level, title, array_to_string(list_transform(list_filter(st, lambda e: e.t <> ''), lambda e: e.t), ' > ') AS path FROM s WHERE k > 0""")
 def section_path(spark: SparkSession, d: str) -> DataFrame:
-    """A fold with two early ways out: checked against a Python stack in the tests."""
+    """Short lines stand in for headings here, as numbered ones are rare in these texts."""
     rows = I.lines(spark, d).where(F.length("line") < 60).select("doc_id", "ord", (1 + F.col("ord") % 3).alias("level"), F.col("line").alias("title"))
     return S.section_tree(rows, "doc_id")
 
@@ -120,10 +127,13 @@ def section_spans(spark: SparkSession, d: str) -> DataFrame:
     return S.section_spans(rows, "doc_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {I.LINES_CTE}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM lines),
+s AS (SELECT DISTINCT doc_id, 0::BIGINT AS k, 0::BIGINT AS held, 0::BIGINT AS unit FROM n
+  UNION ALL SELECT n.doc_id, n.k, CASE WHEN held > 1100 THEN length(line) ELSE held + length(line) + CAST(held > 0 AS INT) END, unit + CAST(held > 1100 AS INT) FROM s JOIN n ON n.doc_id = s.doc_id AND n.k = s.k + 1),
+u AS (SELECT n.doc_id, s.unit, min(n.ord) AS first_ord, string_agg(n.line, chr(10) ORDER BY n.ord) AS text FROM n JOIN s ON n.doc_id = s.doc_id AND n.k = s.k GROUP BY ALL)
+SELECT doc_id, unit, first_ord, md5(text) AS text FROM u WHERE length(regexp_replace(text, '\\s+', '', 'g')) >= 8""")
 def text_units(spark: SparkSession, d: str) -> DataFrame:
-    """Buffering with reset: checked against a Python loop in the tests."""
-    return S.text_units(I.lines(spark, d), "doc_id")
+    return S.text_units(I.lines(spark, d), "doc_id").withColumn("text", F.md5("text"))
 
 
 @query(f"""WITH {I.LINES_CTE}, n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY ord) AS next, regexp_extract(line, '([0-9]{{1,4}})\\s*$', 1) AS ends FROM lines),

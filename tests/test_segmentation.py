@@ -1,9 +1,11 @@
 """Order-dependent operators against plain Python written from their rules."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from gleanery.functions import text as T
 from gleanery.functions.vocab import CHINESE
 from gleanery.operators import parsing
 from gleanery.operators import segmentation as S
@@ -87,6 +89,40 @@ def test_field_lines(spark):
     assert got[0]["text"] == "营业收入；2024年；1,234.5万元"
 
 
+def by_hand(page, metrics, ahead=9):
+    """Units of a page of lines, as the rules say: (place, raw metric, text)."""
+    names = sorted({a for al in metrics.values() for a in al}, key=len, reverse=True)
+    metric, value, year = re.compile("|".join(names)), re.compile(T.VALUE), re.compile("20[0-9]{2}")
+    free, out = 0, []
+    for at, line in enumerate(page):
+        named = metric.search(line)
+        if not named or at < free:
+            continue
+        taken, stop = [line], min(len(page), at + 1 + ahead)
+        for k in range(at + 1, stop):
+            x = page[k]
+            if x.startswith("第一节") or (k > at + 1 and metric.search(x) and not value.search(x)):
+                stop = k
+                break
+            if x and (value.search(x) or year.search(x) or any(w in x for w in parsing.LABELS) or len(x) <= 22):
+                taken.append(x)
+        text = "；".join(taken)
+        if (value.search(text) or any(w in text for w in parsing.NO_VALUE)) and len("".join(text.split())) >= 8:
+            out.append((at, named[0], text))
+            free = max(at + 1, stop - 1)
+    return out
+
+
+def test_field_lines_of_random_pages(spark):
+    rng = random.Random(11)
+    parts = ["营业收入", "总资产 99亿元", "利润总额", "1,234.5万元", "2024年", "第一节 其他", "没有数字的一段非常非常长的说明文字超过二十二个字符", "说明", "", "本年不实施分配", "净利润与利润总额", "12%", "不适用"]
+    pages = {d: [rng.choice(parts) for _ in range(rng.randrange(1, 40))] for d in range(80)}
+    rows = [(d, 1, i, x) for d, page in pages.items() for i, x in enumerate(page)]
+    got = parsing.field_lines(spark.createDataFrame(rows, "doc_id bigint, page bigint, ord bigint, line string"), CHINESE.metrics).collect()
+    want = {(d, *u) for d, page in pages.items() for u in by_hand(page, CHINESE.metrics)}
+    assert {(r["doc_id"], r["ord"], r["raw_metric"], r["text"]) for r in got} == want and len(got) == len(want) > 100
+
+
 def test_document_cards(spark):
     pages = spark.createDataFrame([("a", 1, "中国建筑股份有限公司 2024 年度报告"), ("b", 1, "关于招行的文件"), ("b", 2, "年度报告 2023"), ("c", 1, "none")], "doc_id string, page int, text string")
     got = {r["doc_id"]: r for r in parsing.document_cards(pages, CHINESE.companies).collect()}
