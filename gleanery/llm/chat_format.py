@@ -32,6 +32,7 @@ A conversation is one row at a time, so it must fit into a task's memory.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.shared import batches_of, numbered, place
-from gleanery.llm.token_codec import DEFAULT_TOKENIZER, encoder
+from gleanery.llm.token_codec import DEFAULT_TOKENIZER, encoder, tokenizer_path
 from gleanery.session import ship_package
 
 PACK_TOKENS = 8192
@@ -75,10 +76,12 @@ def byte_values() -> dict[str, int]:
 
 
 class Decoder:
-    """Bytes of token ids; the marks included."""
+    """Bytes of token ids; the marks included. Reads the vocabulary alone, not the whole tokenizer."""
 
     def __init__(self, tokenizer: str):
-        vocabulary = encoder(tokenizer).library.get_vocab()
+        with open(tokenizer_path(tokenizer), encoding="utf-8") as f:
+            said = json.load(f)
+        vocabulary = said["model"]["vocab"] | {x["content"]: x["id"] for x in said.get("added_tokens", ())}
         of = byte_values()
         self.start = max(vocabulary.values()) + 1
         self.table = [b""] * (self.start + 2)
@@ -245,15 +248,23 @@ def read_packs(packs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, ordered: bo
                 key = live[key][2]
             return out[::-1]
 
-        for batch in batches_of(batches):
+        def lists(column, *fields):
+            inner = column.values
+            return column.offsets.to_numpy(), *((inner.field(f) if fields else inner).to_numpy() for f in fields or (0,))
+
+        for batch in batches_of(batches, 1 << 20):
             rows = []
-            for part, number, ids, nodes, conversations in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
+            at_ids, ids = lists(batch.column(2))
+            at_nodes, *nodes = lists(batch.column(4), "start", "end", "loss_start", "loss_end", "parent_pack", "parent")
+            conversations = batch.column(5).to_pylist()
+            for row, (part, number) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if part != now:
                     now, live = part, {}
-                for i, x in enumerate(nodes):
-                    live[number, i] = own.text(ids[x["start"] : x["end"]]), unescape(own.text(ids[x["loss_start"] : x["loss_end"]])), (x["parent_pack"], x["parent"])
+                pack_ids = ids[at_ids[row] : at_ids[row + 1]]
+                for i, (a, b, c, d, *parent) in enumerate(zip(*(x[at_nodes[row] : at_nodes[row + 1]].tolist() for x in nodes))):
+                    live[number, i] = own.text(pack_ids[a:b].tolist()), unescape(own.text(pack_ids[c:d].tolist())), tuple(parent)
                 known: dict[tuple[int, int], tuple] = {}
-                for c in conversations:
+                for c in conversations[row]:
                     key = c["node_pack"], c["node"]
                     if key not in known:
                         path = path_of(key)
