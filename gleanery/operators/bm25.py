@@ -1,55 +1,120 @@
 """Inverted index and BM25 scoring.
 
-Postings are a table (scope, id, term, tf, dl); statistics are aggregated from it per scope:
-the whole corpus (scope constant), a domain, or a single document. Terms of queries are
-counted first, so a term that a query repeats costs one posting and still counts repeatedly.
+An index is a table with one row per text: (scope, id, dl, terms: array<(term, tf)>), counted row by row
+without a shuffle; postings (scope, id, term, tf, dl) are that table taken apart. Statistics are
+aggregated per scope: the whole corpus (scope constant), a domain, or a single document. Scoring asks for
+the terms of its queries first, so document frequencies are counted for those alone; terms of queries are
+counted too, so a term that a query repeats costs one posting and still counts repeatedly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import simple_tokens
-from gleanery.sources.scratch import materialise
+from gleanery.session import is_small, spread
+from gleanery.sources.scratch import exists, materialise, scratch_path, stamp_of
 
 K1, B = 1.5, 0.75
+#: Columns that queries of one question may have side by side (stem and options).
+MOST_LABELS = 64
+#: Texts are dealt by scope if the largest scope has less than this part of them.
+MANY_SCOPES = 200
 
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # scope, id, term, tf, dl
+    texts: DataFrame  # scope, id, dl, terms: array<struct<term, tf>>
     stats: DataFrame  # scope, n, avgdl
-
-    def frequencies(self) -> DataFrame:
-        return self.postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
+    path: str = ""
+    _floors: list[DataFrame] = field(default_factory=list, compare=False)
+
+    @property
+    def postings(self) -> DataFrame:
+        """scope, id, dl, term, tf"""
+        return self.texts.select("scope", "id", "dl", F.explode("terms").alias("t")).select("scope", "id", "dl", "t.term", "t.tf")
+
+    def frequencies(self, asked: DataFrame | None = None) -> DataFrame:
+        """Document frequencies of all terms, or of those in ``asked`` (term)."""
+        held = self.postings if asked is None else _only(self.postings, asked)
+        return held.groupBy("scope", "term").agg(F.count("*").alias("df"))
+
+    def floors(self) -> DataFrame:
+        """(scope, floor): a quarter of the mean idf over all terms of a scope. Counted once per index."""
+        if not self._floors:
+            raw = self.frequencies().join(self.stats, "scope").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+            self._floors.append(materialise(raw.groupBy("scope").agg((F.avg("idf") * 0.25).alias("floor")), "idf-floors"))
+        return self._floors[0]
 
     def save(self, folder: str) -> None:
-        """Postings and statistics as tables: nothing is tokenised again when they are read."""
-        self.postings.write.mode("overwrite").parquet(f"{folder}/postings")
+        """Terms and statistics as tables: nothing is tokenised again when they are read."""
+        self.texts.write.mode("overwrite").parquet(f"{folder}/texts")
         self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> "Index":
-        return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats"))
+        return Index(spark.read.parquet(f"{folder}/texts"), spark.read.parquet(f"{folder}/stats"), folder)
+
+
+def _only(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    return postings.join(_small(asked), "term", "left_semi")
+
+
+def _counting(tokens: Column) -> tuple[Column, Column, Column]:
+    """Steps from an array of tokens to array<struct<term, tf>>, each over the column of the one before (``ordered``,
+    ``begins``): tokens sorted, places where a run of equal ones begins, and the runs."""
+    ordered = F.array_sort(tokens)
+    n = F.size("ordered")
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("ordered", i) != F.get("ordered", i - 1)))
+    ends = F.concat(F.slice("begins", F.lit(2), F.size("begins")), F.array(n))
+    runs = F.zip_with("begins", ends, lambda a, b: F.struct(F.get("ordered", a).alias("term"), (b - a).cast("bigint").alias("tf")))
+    kind = "array<struct<term:string,tf:bigint>>"
+    return ordered, begins, F.when(n > 0, runs).otherwise(F.array().cast(kind))
 
 
 def build_index(docs: DataFrame, id: str, text: str, scope: Column | None = None, tokens: Callable[[Column], Column] = simple_tokens) -> Index:
-    """Tokenise once and keep the postings; documents without terms count in N and average length.
+    """Tokenise once and keep the terms, a row per text: nothing is shuffled (small inputs are spread over the cores).
 
-    Texts are dealt by id first: terms are then counted, and lengths gathered, without another shuffle of
-    postings, which outweigh the texts.
+    Ids are unique within a scope; texts without terms count in N and in the average length.
     """
-    held = docs.select((F.lit(0) if scope is None else scope).alias("scope"), F.col(id).alias("id"), F.col(text).alias("text")).repartition("id")
-    counted = held.select("scope", "id", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens").cast("bigint"))
-    rows = counted.select("scope", "id", "dl", F.explode_outer("tokens").alias("term"))
-    postings = materialise(rows.groupBy("scope", "id", "term", "dl").agg(F.count("term").alias("tf")), "postings")
-    sizes = postings.select("scope", "id", "dl").distinct()
-    stats = sizes.groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return Index(postings.where("term is not null"), stats)
+    spark = docs.sparkSession
+    held = spread(docs.select((F.lit(0) if scope is None else scope).alias("scope"), F.col(id).alias("id"), F.col(text).alias("text")))
+    path = scratch_path(spark, "index")
+    rows = held.select("scope", "id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    ordered, begins, runs = _counting(F.col("tokens"))
+    rows = rows.select("scope", "id", F.size("tokens").cast("bigint").alias("dl"), ordered.alias("ordered"))
+    rows = rows.select("scope", "id", "dl", "ordered", F.when(F.size("ordered") > 0, begins).otherwise(F.array().cast("array<int>")).alias("begins"))
+    rows.select("scope", "id", "dl", runs.alias("terms")).write.parquet(f"{path}/texts")
+    texts = spark.read.parquet(f"{path}/texts")
+    texts.groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/stats")
+    return Index.load(spark, path)
+
+
+_SHARED: list[tuple[tuple, DataFrame, Index]] = []
+
+
+def shared_index(docs: DataFrame, id: str, text: str, scope: Column | None = None, tokens: Callable[[Column], Column] = simple_tokens) -> Index:
+    """:func:`build_index`, once per session and input: another query over the same texts reads the same tables.
+
+    An index is used again only if its plan is the same and the files that it was made of are, by path, time and
+    size. Inputs that aren't files are indexed each time.
+    """
+    spark = docs.sparkSession
+    own = docs.select((F.lit(0) if scope is None else scope).alias("scope"), F.col(id).alias("id"), F.col(text).alias("text"))
+    stamp = stamp_of(own)
+    if not stamp:
+        return build_index(docs, id, text, scope, tokens)
+    key = (spark.sparkContext.applicationId, tokens.__module__, tokens.__qualname__, stamp)
+    for known, plan, index in _SHARED:
+        if known == key and plan.sameSemantics(own) and exists(spark, index.path):
+            return index
+    index = build_index(docs, id, text, scope, tokens)
+    _SHARED.append((key, own, index))
+    return index
 
 
 def query_terms(queries: DataFrame, qid: str, text: str, tokens: Callable[[Column], Column] = simple_tokens, *more: str) -> DataFrame:
@@ -57,21 +122,64 @@ def query_terms(queries: DataFrame, qid: str, text: str, tokens: Callable[[Colum
     return queries.select(qid, *more, F.explode(tokens(F.col(text))).alias("term")).groupBy(qid, *more, "term").agg(F.count("*").alias("qtf"))
 
 
+def _small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+def _idf(okapi: bool) -> Column:
+    n, df = F.col("n"), F.col("df")
+    if not okapi:
+        return F.log(1 + (n - df + 0.5) / (df + 0.5))
+    raw = F.log(n - df + 0.5) - F.log(df + 0.5)
+    return F.when(raw < 0, F.col("floor")).otherwise(raw)
+
+
+def _weighed(index: Index, asked: DataFrame, okapi: bool) -> DataFrame:
+    """(scope, id, term, weight): what one mention of an asked term (term) in a query adds for a text.
+
+    Rows are dealt so that sums by text need no further shuffle: by scope if scopes are many and none is large
+    (documents of their own), and then frequencies are counted where the rows lie; else by id, and frequencies of the
+    asked terms are a small table of their own.
+    """
+    length = F.col("dl") if okapi else F.greatest(F.lit(1), F.col("dl"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length / F.col("avgdl")))
+    texts, largest = index.stats.agg(F.sum("n"), F.max("n")).first()
+    if texts and largest * MANY_SCOPES < texts:
+        whole, of_term = Window.partitionBy("scope"), Window.partitionBy("scope", "term")
+        dealt = index.texts.repartition("scope").select("scope", "id", "dl", "terms", F.count("*").over(whole).alias("n"), F.avg("dl").over(whole).alias("avgdl"))
+        held = _only(dealt.select("scope", "id", "dl", "n", "avgdl", F.explode("terms").alias("t")).select("scope", "id", "dl", "n", "avgdl", "t.term", "t.tf"), asked)
+        counted = held.withColumn("df", F.count("*").over(of_term))
+        if okapi:
+            counted = counted.join(index.floors(), "scope")
+        return counted.withColumn("idf", _idf(okapi)).select("scope", "id", "term", weight.alias("weight"))
+    df = index.frequencies(asked).join(index.stats, "scope")
+    if okapi:
+        df = df.join(index.floors(), "scope")
+    idf = _small(materialise(df.select("scope", "term", "avgdl", _idf(okapi).alias("idf")), "idf"))
+    dealt = index.texts.repartition("id").select("scope", "id", "dl", F.explode("terms").alias("t")).select("scope", "id", "dl", "t.term", "t.tf")
+    return dealt.join(idf, ["scope", "term"]).select("scope", "id", "term", weight.alias("weight"))
+
+
 def bm25_scores(index: Index, terms: DataFrame, qid: str, *more: str, okapi: bool = False) -> DataFrame:
     """(qid, more..., scope, id, score). With ``okapi`` the idf may be negative and is then replaced by
     a quarter of the mean idf of its scope."""
-    df = index.frequencies().join(index.stats, "scope")
-    if okapi:
-        raw = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        mean = raw.groupBy("scope").agg((F.avg("idf") * 0.25).alias("floor"))
-        idf = raw.join(mean, "scope").select("scope", "term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-        length = F.col("dl")
-    else:
-        idf = df.select("scope", "term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        length = F.greatest(F.lit(1), F.col("dl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length / F.col("avgdl")))
-    asked = terms.join(idf, "term")
-    return asked.join(index.postings, ["scope", "term"]).groupBy(qid, *more, "scope", "id").agg(F.sum(part).alias("score"))
+    terms = materialise(terms, "query-terms")
+    weighed = _weighed(index, terms.select("term").distinct(), okapi)
+    return weighed.join(_small(terms), "term").groupBy(qid, *more, "scope", "id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+
+
+def label_scores(index: Index, terms: DataFrame, qid: str, label: str = "label", okapi: bool = False) -> DataFrame:
+    """(qid, label, scope, id, score) for queries that share most terms, as a question's stem and options do: postings
+    are joined once per question and term, and scores of all labels are summed side by side."""
+    terms = materialise(terms, "query-terms")
+    names = sorted(r[0] for r in terms.select(label).distinct().limit(MOST_LABELS + 1).collect())
+    if len(names) > MOST_LABELS:
+        return bm25_scores(index, terms, qid, label, okapi=okapi)
+    weighed = _weighed(index, terms.select("term").distinct(), okapi)
+    wide = terms.groupBy(qid, "term").agg(F.lit(0).alias("none"), *(F.sum(F.when(F.col(label) == n, F.col("qtf"))).alias(f"q{i}") for i, n in enumerate(names)))
+    sums = weighed.join(_small(wide), "term").groupBy(qid, "scope", "id").agg(F.count("*").alias("n"), *(F.sum(F.col(f"q{i}") * F.col("weight")).alias(f"s{i}") for i in range(len(names))))
+    each = F.array(*(F.struct(F.lit(n).alias("label"), F.col(f"s{i}").alias("score")) for i, n in enumerate(names))).cast("array<struct<label:string,score:double>>")
+    return sums.select(qid, "scope", "id", F.explode(each).alias("e")).select(qid, F.col("e.label").alias(label), "scope", "id", F.col("e.score").alias("score")).where("score is not null")
 
 
 def top_k(scored: DataFrame, by: list[str], k: int | Column, *ties: str, score: str = "score", rank: str = "rank") -> DataFrame:
@@ -81,8 +189,13 @@ def top_k(scored: DataFrame, by: list[str], k: int | Column, *ties: str, score:
 
 
 def two_level_top_k(scored: DataFrame, query: str, doc: str, k: int, *ties: str, per_doc: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Top rows of each document, then of all; per document max(3, k / documents) unless told otherwise."""
+    """Top rows of each document, then of all; per document max(3, k / documents) unless told otherwise.
+
+    No document gives more than ``k`` rows in the end, so scores are cut to that first, where they lie, and what
+    is left (it still has every document) is written once and counted.
+    """
     per_doc = per_doc or (lambda n: F.greatest(F.lit(3), F.floor(F.lit(k) / n)))
-    docs = scored.groupBy(query).agg(F.count_distinct(doc).alias("__n"))
-    inner = top_k(scored.join(docs, query), [query, doc], per_doc(F.col("__n")), *ties, rank="doc_rank")
+    best = materialise(top_k(scored, [query, doc], k, *ties, rank="doc_rank"), "best-per-document")
+    docs = best.where("doc_rank = 1").groupBy(query).agg(F.count("*").alias("__n"))
+    inner = best.join(docs, query).where(F.col("doc_rank") <= per_doc(F.col("__n")))
     return top_k(inner.drop("__n"), [query], k, doc, *ties)

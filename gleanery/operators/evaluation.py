@@ -65,3 +65,27 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
 def item_hits(items: DataFrame) -> DataFrame:
     """Ranked items (qid, rank, hit): number of hits and the first one's rank (0 without any)."""
     return items.groupBy("qid").agg(F.count_if("hit").alias("n_hit"), F.coalesce(F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0)).cast("bigint").alias("first_hit"))
+
+
+def compare_all(results: DataFrame, gold: DataFrame) -> DataFrame:
+    """Left join on qid: (qid, answer, gold, correct); correct is null where there is no gold, so it counts nowhere."""
+    return results.join(gold.select("qid", F.col("answer").alias("gold")), "qid", "left").withColumn("correct", F.col("answer") == F.col("gold"))
+
+
+def hit_rates(ranks: DataFrame, by: str, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """Questions (by, first: rank of the first right item, 0 for none) as the share hit within each k, by group and overall."""
+    shares = (F.round(F.count_if((F.col("first") > 0) & (F.col("first") <= k)) / F.count("*"), 4).alias(f"hit_{k}") for k in ks)
+    return ranks.rollup(by).agg(F.count("*").alias("n"), *shares)
+
+
+def mean_confidence(answers: DataFrame, by: str, order: str) -> DataFrame:
+    """Answers with the mean confidence of those so far, in order, per group."""
+    so_far = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return answers.withColumn("mean_confidence", F.avg("confidence").over(so_far))
+
+
+def diagnostics(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranked items (qid, domain, rank, score, hit) as a row per question and a summary by domain and overall."""
+    per = items.groupBy("qid", "domain").agg(F.count("*").alias("n_items"), F.count_if("hit").alias("n_hit"), F.coalesce(F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0)).cast("bigint").alias("first"), F.round(F.max("score"), 4).alias("best"))
+    summary = per.rollup("domain").agg(F.count("*").alias("n"), F.sum("n_items").alias("n_items"), F.count_if(F.col("first") > 0).alias("n_with_hit"), F.round(F.avg("best"), 4).alias("mean_best"))
+    return per, summary

@@ -66,11 +66,16 @@ def route_documents(plans: DataFrame, cards: DataFrame, most: int = 3) -> DataFr
 
 
 def number_hits(queries: DataFrame, chunks: DataFrame, most_numbers: int = 5, per_number: int = 2) -> DataFrame:
-    """Chunks (doc_id, chunk_id, numbers) that hold one of a query's first numbers (qid, numbers); score 1."""
-    asked = queries.select("qid", F.posexplode(F.slice("numbers", 1, most_numbers)).alias("place", "number"))
+    """Chunks (doc_id, chunk_id, numbers) that hold one of a query's first numbers (qid, numbers, and perhaps doc_ids: the
+    documents to look in, all if there are none); score 1."""
+    scope = [c for c in ("doc_ids",) if c in queries.columns]
+    asked = queries.select("qid", *scope, F.posexplode(F.slice("numbers", 1, most_numbers)).alias("place", "number"))
     held = chunks.select("doc_id", "chunk_id", F.explode("numbers").alias("number"))
+    found = asked.join(held, "number")
+    if scope:
+        found = found.where(F.expr("size(doc_ids) = 0 or array_contains(doc_ids, doc_id)"))
     n = F.row_number().over(Window.partitionBy("qid", "number").orderBy("doc_id", "chunk_id"))
-    return asked.join(held, "number").withColumn("n", n).where(F.col("n") <= per_number).select("qid", "doc_id", "chunk_id", "number", F.lit(1.0).alias("score"))
+    return found.withColumn("n", n).where(F.col("n") <= per_number).select("qid", "doc_id", "chunk_id", "number", F.lit(1.0).alias("score"))
 
 
 def add_scores(hits: DataFrame, by: list[str]) -> DataFrame:

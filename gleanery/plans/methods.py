@@ -80,15 +80,15 @@ def hits(questions: DataFrame, units: DataFrame, method: Method, table: DataFram
     ``table`` gives other queries (qid, label, query, topk), and perhaps ``only``, a document to look in;
     ``sections`` (qid, section_id) those to keep of the best max(80, 30 k).
     """
-    index = bm25.build_index(units, "unit_id", "text", scope=F.col(method.scope))
+    index = bm25.shared_index(units, "unit_id", "text", scope=F.col(method.scope))
     if table is None:
         table = S.option_queries(questions, method.stem_k, method.option_k, method.stem)
         if not method.options:
             table = table.where("label = 'stem'")
     more = ["label", "topk", *(c for c in table.columns if c == "only")]
-    terms = bm25.query_terms(table, "qid", "query", T.simple_tokens, *more)
-    scored = bm25.bm25_scores(index, terms, "qid", *more, okapi=method.okapi).withColumn("score", F.round("score", 4)).where("score > 0")
-    placed = scored.join(units.select(F.col("unit_id").alias("id"), "doc_id"), "id")
+    terms = bm25.query_terms(table, "qid", "query", T.simple_tokens, "label")
+    scored = bm25.label_scores(index, terms, "qid", okapi=method.okapi).withColumn("score", F.round("score", 4)).where("score > 0")
+    placed = scored.join(table.select("qid", *more), ["qid", "label"]).join(units.select(F.col("unit_id").alias("id"), "doc_id"), "id")
     # Statistics stay those of the whole scope: documents are cut out after scoring.
     allowed = placed.join(questions.select("qid", "doc_ids"), "qid").where(F.expr("size(doc_ids) = 0 or array_contains(doc_ids, doc_id)"))
     if "only" in more:

@@ -52,20 +52,20 @@ def _ranked(scored: DataFrame, k: int = 5) -> DataFrame:
 
 @query(bm25_sql(DOCS, ITEMS, tail=TOP5))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    index = bm25.build_index(table(spark, d, "documents"), "doc_id", "text")
+    index = bm25.shared_index(table(spark, d, "documents"), "doc_id", "text")
     return _ranked(bm25.bm25_scores(index, bm25.query_terms(_items(spark, d), "qid", "text"), "qid"))
 
 
 @query(bm25_sql(DOCS, ITEMS, tail=TOP5, okapi=True))
 def bm25_okapi_topk(spark: SparkSession, d: str) -> DataFrame:
-    index = bm25.build_index(table(spark, d, "documents"), "doc_id", "text")
+    index = bm25.shared_index(table(spark, d, "documents"), "doc_id", "text")
     return _ranked(bm25.bm25_scores(index, bm25.query_terms(_items(spark, d), "qid", "text"), "qid", okapi=True))
 
 
 @query(bm25_sql("SELECT doc_id AS id, text, lang FROM documents", ITEMS, scope="lang", tail=TOP5))
 def bm25_domain_scope(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of each domain on its own."""
-    index = bm25.build_index(table(spark, d, "documents"), "doc_id", "text", scope=F.col("lang"))
+    index = bm25.shared_index(table(spark, d, "documents"), "doc_id", "text", scope=F.col("lang"))
     return _ranked(bm25.bm25_scores(index, bm25.query_terms(_items(spark, d), "qid", "text"), "qid"))
 
 
@@ -74,7 +74,7 @@ SELECT qid, id AS doc_id, score, rank FROM (SELECT qid, id, round(score, 4) AS s
 def bm25_hard_filter(spark: SparkSession, d: str) -> DataFrame:
     """Allowed documents are cut out after scoring, so statistics stay those of the corpus."""
     docs = table(spark, d, "documents")
-    scored = bm25.bm25_scores(bm25.build_index(docs, "doc_id", "text"), bm25.query_terms(_items(spark, d), "qid", "text"), "qid")
+    scored = bm25.bm25_scores(bm25.shared_index(docs, "doc_id", "text"), bm25.query_terms(_items(spark, d), "qid", "text"), "qid")
     allowed = docs.where("lang = 'en'").select(F.col("doc_id").alias("id"))
     return _ranked(scored.join(allowed, "id", "left_semi"))
 
@@ -83,7 +83,7 @@ def bm25_hard_filter(spark: SparkSession, d: str) -> DataFrame:
 WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY ALL)
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term""")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    index = bm25.build_index(table(spark, d, "documents"), "doc_id", "text")
+    index = bm25.shared_index(table(spark, d, "documents"), "doc_id", "text")
     return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -93,7 +93,7 @@ UNIT_INDEX = "SELECT unit_id AS id, text, doc_id FROM units"
 def unit_hits(spark: SparkSession, d: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """(units, best hits of each document's own index with the documents' best overall)."""
     units = I.units(spark, d)
-    index = bm25.build_index(units, "unit_id", "text", scope=F.col("doc_id"))
+    index = bm25.shared_index(units, "unit_id", "text", scope=F.col("doc_id"))
     scored = bm25.bm25_scores(index, bm25.query_terms(_items(spark, d), "qid", "text"), "qid").withColumn("score", F.round("score", 4)).where("score > 0")
     return units, scored.withColumnRenamed("scope", "doc_id")
 
@@ -162,9 +162,9 @@ hits AS (SELECT CAST(split_part(qid, '|', 1) AS BIGINT) AS qid, split_part(qid,
 
 def option_hits(spark: SparkSession, d: str) -> DataFrame:
     """Ten best documents of the stem and of every option: (qid, label, id, score)."""
-    index = bm25.build_index(table(spark, d, "documents"), "doc_id", "text")
+    index = bm25.shared_index(table(spark, d, "documents"), "doc_id", "text")
     terms = bm25.query_terms(S.option_queries(I.questions(spark, d)), "qid", "query", T.simple_tokens, "label")
-    scored = bm25.bm25_scores(index, terms, "qid", "label").where("score > 0").withColumn("score", F.round("score", 4))
+    scored = bm25.label_scores(index, terms, "qid").where("score > 0").withColumn("score", F.round("score", 4))
     return bm25.top_k(scored, ["qid", "label"], 10, "id")
 
 
@@ -235,15 +235,19 @@ def doc_routing(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.route_documents(plans, cards)
 
 
-@query(rf"""WITH q2 AS (SELECT doc_id AS qid, list_sort(list_distinct(regexp_extract_all(text, '[0-9]+\.?[0-9]*')))[1:5] AS nums FROM documents WHERE doc_id % 100 = 0),
-ch AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+\.?[0-9]*')) AS nums FROM documents),
-h AS (SELECT q.qid, c.doc_id, q.number, row_number() OVER (PARTITION BY q.qid, q.number ORDER BY c.doc_id) AS n
-  FROM (SELECT qid, unnest(nums) AS number FROM q2) q JOIN (SELECT doc_id, unnest(nums) AS number FROM ch) c USING (number))
-SELECT qid, doc_id, 0::BIGINT AS chunk_id, number, 1.0::DOUBLE AS score FROM h WHERE n <= 2""")
+@query(r"""WITH q AS (SELECT c_custkey AS qid, regexp_extract_all(concat('about ', c_custkey % 50, ' and 3.5'), '[0-9]+\.?[0-9]*')[1:5] AS nums FROM customer),
+ch AS (SELECT o_custkey % 20 AS doc_id, o_orderkey AS chunk_id, list_distinct(regexp_extract_all(concat('order ', o_orderkey % 50, ' for ', o_custkey % 7, '.5'), '[0-9]+\.?[0-9]*')) AS nums FROM orders),
+h AS (SELECT q.qid, c.doc_id, c.chunk_id, q.number, row_number() OVER (PARTITION BY q.qid, q.number ORDER BY c.doc_id, c.chunk_id) AS n
+  FROM (SELECT qid, unnest(nums) AS number FROM q) q JOIN (SELECT doc_id, chunk_id, unnest(nums) AS number FROM ch) c USING (number) WHERE c.doc_id % 3 = q.qid % 3)
+SELECT qid, doc_id, chunk_id, number, 1.0::DOUBLE AS score FROM h WHERE n <= 2""")
 def number_lookup(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.lit(0).cast("bigint").alias("chunk_id"), T.numbers(F.col("text"), (r"[0-9]+\.?[0-9]*",)).alias("numbers"))
-    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), "numbers")
-    return retrieval.number_hits(asked, docs)
+    """Chunks of a question's documents that hold its numbers."""
+    pattern = (r"[0-9]+\.?[0-9]*",)
+    said = F.concat(F.lit("order "), F.col("o_orderkey") % 50, F.lit(" for "), F.col("o_custkey") % 7, F.lit(".5"))
+    chunks = table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("doc_id"), F.col("o_orderkey").alias("chunk_id"), T.numbers(said, pattern).alias("numbers"))
+    scope = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint")), lambda i: i % 3 == F.col("c_custkey") % 3)
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), T.numbers(F.concat(F.lit("about "), F.col("c_custkey") % 50, F.lit(" and 3.5")), pattern).alias("numbers"), scope.alias("doc_ids"))
+    return retrieval.number_hits(asked, chunks)
 
 
 @query(f"""WITH {I.UNITS_CTE}, hits AS (SELECT doc_id % 10 AS qid, unit_id AS id, section_id, domain, CAST(length(text) AS DOUBLE) AS score FROM units),

@@ -136,12 +136,19 @@ def text_units(spark: SparkSession, d: str) -> DataFrame:
     return S.text_units(I.lines(spark, d), "doc_id").withColumn("text", F.md5("text"))
 
 
-@query(f"""WITH {I.LINES_CTE}, n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY ord) AS next, regexp_extract(line, '([0-9]{{1,4}})\\s*$', 1) AS ends FROM lines),
+CONTENTS_CTE = """lines AS (SELECT o_custkey AS doc_id, o_orderkey * 3 + u.i AS ord, [concat('Part ', o_orderkey % 9, ' ..... ', o_orderkey % 90), concat('Chapter of ', o_orderstatus), CAST(o_orderkey % 50 AS VARCHAR)][u.i + 1] AS line FROM orders, unnest([0, 1, 2]) AS u(i))"""
+
+
+@query(f"""WITH {CONTENTS_CTE}, n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY ord) AS next, regexp_extract(line, '([0-9]{{1,4}})\\s*$', 1) AS ends FROM lines),
 e AS (SELECT doc_id, ord, CASE WHEN ends <> '' THEN regexp_replace(line, '[\\s.…·]*[0-9]{{1,4}}\\s*$', '') ELSE line END AS title,
   TRY_CAST(coalesce(nullif(ends, ''), CASE WHEN regexp_matches(trim(next), '^[0-9]{{1,4}}$') THEN trim(next) END) AS BIGINT) AS page FROM n)
 SELECT doc_id, title, page, ord FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, title, page ORDER BY ord) AS k FROM e WHERE page IS NOT NULL AND title <> '') WHERE k = 1""")
 def toc_entries(spark: SparkSession, d: str) -> DataFrame:
-    return S.toc_entries(I.lines(spark, d), "doc_id")
+    """Contents lines made from orders: with the page at the end, and with the page in the next line."""
+    k = F.col("o_orderkey")
+    three = F.array(F.concat(F.lit("Part "), k % 9, F.lit(" ..... "), k % 90), F.concat(F.lit("Chapter of "), "o_orderstatus"), (k % 50).cast("string"))
+    lines = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("k"), F.posexplode(three).alias("i", "line"))
+    return S.toc_entries(lines.select("doc_id", (F.col("k") * 3 + F.col("i")).alias("ord"), "line"), "doc_id")
 
 
 @query(f"""WITH {I.UNITS_CTE} SELECT unit_id, last_value(CASE WHEN unit_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord) AS current_heading FROM units""")

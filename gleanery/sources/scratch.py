@@ -56,6 +56,29 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _status(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, store = _status(spark, path)
+    return store.exists(where)
+
+
+def stamp_of(df: DataFrame) -> tuple:
+    """Path, time and size of the files that ``df`` reads (of their folders if they are many); empty if there are none."""
+    files = df.inputFiles()
+    if len(files) > 100:
+        files = {f.rsplit("/", 1)[0] for f in files}
+    out = []
+    for path in sorted(files):
+        where, store = _status(df.sparkSession, path)
+        status = store.getFileStatus(where)
+        out.append((path, status.getModificationTime(), status.getLen()))
+    return tuple(out)
+
+
 def _sweep() -> None:
     for spark, path in list(_made):
         try:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.operators.evaluation import answer_rows, histogram, last_wins, pending
+from gleanery.operators.evaluation import accuracy, answer_rows, compare_all, diagnostics, histogram, last_wins, pending
 from gleanery.operators.segmentation import keep_first
+from gleanery.sources.scratch import exists, materialise
 
 _CST = timezone(timedelta(hours=8))
 
@@ -118,3 +120,42 @@ def pages_to_render(stubs: DataFrame, fields: DataFrame, most: int = 60) -> Data
 def build_statistics(builds: DataFrame) -> DataFrame:
     """Builds (doc_id, status) as counts of success, skipped and failed."""
     return builds.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("success", "skipped", "failed")), F.count("*").alias("total"))
+
+
+def write_diagnostics(items: DataFrame, folder: str) -> None:
+    """Retrieval diagnostics of a run as JSON lines: ``questions`` and ``summary``."""
+    for name, df in zip(("questions", "summary"), diagnostics(items)):
+        df.write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def write_comparison(results: DataFrame, gold: DataFrame, folder: str) -> None:
+    """Answers beside gold answers as JSON lines and CSV, and accuracy by domain."""
+    rows = compare_all(results, gold)
+    rows.write.mode("overwrite").json(f"{folder}/comparison_json")
+    rows.select("qid", "domain", "answer", "gold", "correct").write.mode("overwrite").csv(f"{folder}/comparison_csv", header=True)
+    accuracy(rows.where("correct is not null"), "domain").write.mode("overwrite").json(f"{folder}/accuracy")
+
+
+def build_cache(wanted: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, force: bool = False) -> DataFrame:
+    """Documents (doc_id, domain) that ``build`` turns into blocks (doc_id, ..., text), appended to the cache under
+    ``folder``; those already there are skipped unless ``force``. Gives (doc_id, status) and upserts the manifest.
+
+    Documents without any block count as failed and aren't cached, so the next run tries them again.
+    """
+    spark = wanted.sparkSession
+    names = ["doc_id", "domain"]
+    blocks_at, manifest_at = f"{folder}/blocks", f"{folder}/manifest"
+    there = exists(spark, manifest_at)
+    done = spark.read.parquet(manifest_at).select("doc_id") if there else wanted.select("doc_id").limit(0)
+    todo = wanted.select(*names) if force else wanted.select(*names).join(done, "doc_id", "left_anti")
+    made = materialise(build(todo), "built-blocks")
+    got = made.select("doc_id").distinct()
+    writer = made.join(wanted.select(*names), "doc_id").write.partitionBy("domain", "doc_id").option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite").parquet(blocks_at)
+    built = todo.select("doc_id").join(got.withColumn("ok", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("ok"), "success").otherwise("failed").alias("status"))
+    skipped = wanted.select("doc_id").join(todo.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("skipped").alias("status"))
+    status = materialise(built.unionByName(skipped), "build-status")
+    new = wanted.select(*names).join(status.where("status = 'success'").select("doc_id"), "doc_id", "left_semi")
+    manifest = upsert_manifest(spark.read.parquet(manifest_at), new) if there else new
+    materialise(manifest, "manifest").write.mode("overwrite").parquet(manifest_at)
+    return status

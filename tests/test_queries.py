@@ -17,6 +17,10 @@ def shown(value):
     return str(value)
 
 
+#: Queries that find nothing in the smallest tables.
+EMPTY = ()
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     db = duckdb.connect()
@@ -36,11 +40,12 @@ def test_sql(spark, sf, duck, name):
     assert sorted(kinds) == columns
     assert {c: SHOWN[df.schema[c].dataType.simpleString()] for c in columns} == kinds
     assert sorted(tuple(shown(r[c]) for c in columns) for r in df.collect()) == want
+    assert want or name in EMPTY
 
 
 @pytest.mark.parametrize("name", sorted(set(all_queries.QUERIES) - set(all_queries.SQL)))
 def test_rows(spark, sf, name):
-    assert all_queries.QUERIES[name](spark, sf).count() >= 0
+    assert all_queries.QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry(spark, sf):
