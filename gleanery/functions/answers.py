@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Anchored patterns, tried in order (fixed values).
+#: Patterns that model outputs are read with, each table tried in order.
 ANSWER_PATTERNS = (r"最终答案[是为：:]\s*([A-D]+)", r"答案[是为：:]\s*([A-D]+)", r"正确答案[是为：:]\s*([A-D]+)", r"(?m)选择?\s*([A-D]+)\s*$", r"综上[，,]?\s*(?:选择?|答案[是为]?)\s*([A-D]+)")
 LETTER_PATTERNS = (r"答案[是为：:]\s*([A-D]+)", r"选择?\s*([A-D]+)", r"正确[的答案选项]*[是为：:]\s*([A-D]+)", r"^([A-D]+)\s*$", r"([A-D](?:[、,，\s]+[A-D])*)")
 FIELD_PATTERNS = (r"准确选项[是为：:]\s*([A-D]+)", *ANSWER_PATTERNS)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = r"\x{4e00}-\x{9fff}"
-#: Words, numbers and runs of Chinese characters.
+#: Patterns of words, numbers and runs of Chinese characters, of years, values, numbers and headings.
 TOKEN_PATTERN = rf"[a-zA-Z]+[0-9]*|[0-9]+(?:\.[0-9]+)?%?|[{CJK}]{{2,}}"
 CARD_TOKEN_PATTERN = rf"[{CJK}]{{2,}}|[A-Za-z]+|20[0-9]{{2}}|[0-9]+(?:\.[0-9]+)?%?"
 YEAR = r"20[0-9]{2}"

@@ -45,8 +45,10 @@ def merge_hits(hits: DataFrame, key: list[str], bonus: float = 1.25) -> DataFram
 
 def siblings(anchors: DataFrame, units: DataFrame, most: int, keep: Column | None = None) -> DataFrame:
     """For anchors (qid, unit_id, section_id): other units of the section in document order, ``most`` of them."""
-    own = units.select(F.col("unit_id").alias("sibling_id"), "section_id", F.col("ord").alias("sibling_ord"), "unit_type", "text")
-    rows = anchors.join(own.where(keep) if keep is not None else own, "section_id").where("sibling_id != unit_id")
+    # One more than ``most`` of each section are enough, as an anchor is at most one of them: cut before the join.
+    first = F.row_number().over(Window.partitionBy("section_id").orderBy("sibling_ord", "sibling_id"))
+    own = (units.where(keep) if keep is not None else units).select(F.col("unit_id").alias("sibling_id"), "section_id", F.col("ord").alias("sibling_ord"), "unit_type", "text")
+    rows = anchors.join(own.withColumn("__n", first).where(F.col("__n") <= most + 1).drop("__n"), "section_id").where("sibling_id != unit_id")
     n = F.row_number().over(Window.partitionBy("qid", "unit_id").orderBy("sibling_ord", "sibling_id"))
     return rows.withColumn("n", n.cast("bigint")).where(F.col("n") <= most)
 
@@ -62,13 +64,23 @@ def evidence_packs(anchors: DataFrame, units: DataFrame, sections: DataFrame, mo
 def route_documents(plans: DataFrame, cards: DataFrame, most: int = 3) -> DataFrame:
     """Plans (qid, companies, years, metrics) against document cards (doc_id, company_text, year, text): +10 for
     a company, +5 for the year, +1 per metric; the best ``most`` with a score, or all documents if none has."""
-    names = F.exists("companies", lambda c: F.col("company_text").contains(c)).cast("int") * 10
-    year = F.array_contains("years", F.col("year").cast("string")).cast("int") * 5
-    metric = F.size(F.filter("metrics", lambda m: F.col("text").contains(m)))
-    scored = cards.crossJoin(F.broadcast(plans) if is_small(plans) else plans).withColumn("score", (names + F.coalesce(year, F.lit(0)) + metric).cast("bigint"))
-    best = F.max("score").over(Window.partitionBy("qid"))
-    ranked = top_k(scored.withColumn("best", best), ["qid"], 1 << 40, "doc_id")
-    return ranked.where(((F.col("best") > 0) & (F.col("score") > 0) & (F.col("rank") <= most)) | (F.col("best") == 0)).select("qid", "doc_id", "score", "rank")
+    def held(names: str, column: str, score: int, each: bool) -> DataFrame:
+        """(qid, doc_id, score) by the words that a plan names and a card holds. Words are a vocabulary: each card is
+        looked through once for every distinct one, and plans are joined by word."""
+        asked = plans.select("qid", F.explode(names).alias("word"))
+        named = asked.select("word").distinct()
+        found = cards.select("doc_id", column).join(F.broadcast(named) if is_small(named) else named, F.col(column).contains(F.col("word"))).select("doc_id", "word")
+        rows = asked.join(found, "word").select("qid", "doc_id", F.lit(score).cast("bigint").alias("score"))
+        return rows if each else rows.distinct()
+
+    years = plans.select("qid", F.explode("years").alias("word")).join(cards.select("doc_id", F.col("year").cast("string").alias("word")), "word").select("qid", "doc_id", F.lit(5).cast("bigint").alias("score")).distinct()
+    parts = held("companies", "company_text", 10, False).unionByName(years).unionByName(held("metrics", "text", 1, True))
+    scored = parts.groupBy("qid", "doc_id").agg(F.sum("score").alias("score"))
+    best = top_k(scored, ["qid"], most, "doc_id").select("qid", "doc_id", "score", "rank")
+    # A plan that fits no document takes them all: that many rows are its result.
+    rest = plans.select("qid").join(scored.select("qid").distinct(), "qid", "left_anti")
+    every = rest.join(cards.select("doc_id")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")).cast("bigint"))
+    return best.unionByName(every.select("qid", "doc_id", F.lit(0).cast("bigint").alias("score"), "rank"))
 
 
 def number_hits(queries: DataFrame, chunks: DataFrame, most_numbers: int = 5, per_number: int = 2) -> DataFrame:

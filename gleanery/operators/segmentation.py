@@ -115,12 +115,14 @@ def keep_first(rows: DataFrame, by: list[str], *order: str | Column) -> DataFram
 def table_units(cells: DataFrame, table: str) -> DataFrame:
     """Rows of tables (table, row, cells array): the table as Markdown and a value map for each row.
 
-    One header row, or two if the second has no numbers. Of equal headers the last value wins.
+    The second row is a header too if it holds a year or an adjustment, or if neither of the first two holds a
+    value. Of equal headers the last value wins.
     """
     rows = F.array_sort(F.collect_list(F.struct("row", "cells")))
     whole = cells.groupBy(table).agg(F.transform(rows, lambda r: r["cells"]).alias("rows")).where(F.size("rows") >= 2)
-    second = F.array_join(F.get("rows", F.lit(1)), "")
-    heads = F.when((F.size("rows") > 2) & ~second.rlike("[0-9]"), 2).otherwise(1)
+    line = lambda i: F.array_join(F.get("rows", F.lit(i)), " ")
+    second = line(1).rlike(T.YEAR) | line(1).contains("调整") | (~line(0).rlike(T.VALUE) & ~line(1).rlike(T.VALUE))
+    heads = F.when(second, 2).otherwise(1)
     whole = whole.withColumn("heads", heads).withColumn("width", F.array_max(F.transform("rows", F.size)))
     whole = whole.withColumn("headers", T.column_headers(F.slice("rows", F.lit(1), F.col("heads")), F.col("width"))).withColumn("markdown", T.markdown_table(F.slice("rows", 1, 121)))
     body = whole.select(table, "markdown", "headers", F.posexplode(F.slice("rows", F.col("heads") + 1, F.size("rows"))).alias("at", "cells"))

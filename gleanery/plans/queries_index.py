@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions.vocab import LATIN
-from gleanery.operators import bm25, retrieval, scoring
+from gleanery.operators import bm25, retrieval, scoring, search
 from gleanery.operators import segmentation as S
 from gleanery.plans import inputs as I
 from gleanery.plans.registry import query
@@ -384,7 +384,7 @@ SELECT doc_id, ord, card_type, score FROM s WHERE shared > 0 AND score >= 4.0"""
 def domain_card_search(spark: SparkSession, d: str) -> DataFrame:
     cards = S.domain_cards(I.units(spark, d), LATIN.card_patterns)
     score = scoring.card_score(F.col("query"), F.col("text"), F.col("card_type"), {"ListCard": ["the"]})
-    return I.with_items(cards, table(spark, d, "benchmark")).select("doc_id", "ord", "card_type", score.alias("score")).where("score >= 4.0")
+    return I.with_items(cards, table(spark, d, "benchmark")).select("doc_id", "ord", "card_type", "domain", score.alias("score")).transform(search.strong_cards, []).drop("domain")
 
 
 @query("""SELECT label, vec_id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 3""")

@@ -64,13 +64,15 @@ def text_blocks(docs: DataFrame, header: str = TEXT_HEADER, shorter_than: int =
 
 
 def read_texts(spark: SparkSession, paths: DataFrame) -> DataFrame:
-    """Text files (doc_id, domain, path) as (doc_id, domain, text)."""
-    names = [r["path"] for r in paths.select("path").distinct().collect()]
-    if not names:
-        return spark.createDataFrame([], "doc_id string, domain string, text string")
-    held = spark.read.text(names, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """Text files (doc_id, domain, path) as (doc_id, domain, text). Folders are read, not lists of files: only the
+    distinct folders reach the driver, and files that aren't asked for are dropped by their path."""
     plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    return paths.withColumn("__p", plain(F.col("path"))).join(held.withColumn("__p", plain(F.col("path"))).drop("path"), "__p").select("doc_id", "domain", "text")
+    folders = [r["f"] for r in paths.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().collect()]
+    if not folders:
+        return spark.createDataFrame([], "doc_id string, domain string, text string")
+    asked = paths.withColumn("__p", plain(F.col("path"))).select("doc_id", "domain", "__p")
+    held = spark.read.text(folders, wholetext=True).select(plain(F.col("_metadata.file_path")).alias("__p"), F.col("value").alias("text"))
+    return asked.join(held, "__p").select("doc_id", "domain", "text")
 
 
 def strip_markup(html: Column) -> Column:

@@ -65,6 +65,13 @@ def test_tables_and_cards(spark):
     assert len(cards) == 1 and cards[0]["value_map"] == {"2024": "10", "2023": "9", "v1": "8"} and cards[0]["confidence"] == 0.68
 
 
+def test_header_rows(spark):
+    tables = {"year": (["项目", "x"], ["", "2023"]), "adjusted": (["项目", "1"], ["", "调整后"]), "plain": (["a", "b"], ["c", "d"]), "valued": (["a", "b"], ["c", "5"]), "first": (["a", "7"], ["c", "d"])}
+    cells = spark.createDataFrame([(t, i, r) for t, two in tables.items() for i, r in enumerate([*two, ["row", "9"]])], "t string, row int, cells array<string>")
+    got = {t: sorted(r["row"] for r in S.table_units(cells, "t").collect() if r["t"] == t) for t in tables}
+    assert {t: len(rows) for t, rows in got.items()} == {"year": 1, "adjusted": 1, "plain": 1, "valued": 2, "first": 2}
+
+
 def test_toc(spark):
     rows = [(1, 1, i, x) for i, x in enumerate(["目录", "第一节 释义", "3", "第二节 公司", "5", "一、概况", "7", "二、情况", "9"])]
     lines = spark.createDataFrame(rows, "doc_id bigint, page bigint, ord bigint, line string")
