@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import simple_tokens
-from gleanery.session import is_small, spread
+from gleanery.session import spread
 from gleanery.sources.scratch import exists, materialise, scratch_path, stamp_of
 
 K1, B = 1.5, 0.75
@@ -32,6 +32,7 @@ class Index:
     stats: DataFrame  # scope, n, avgdl
     path: str = ""
     _floors: list[DataFrame] = field(default_factory=list, compare=False)
+    _totals: list[tuple] = field(default_factory=list, compare=False)
 
     @property
     def postings(self) -> DataFrame:
@@ -50,6 +51,12 @@ class Index:
             self._floors.append(materialise(raw.groupBy("scope").agg((F.avg("idf") * 0.25).alias("floor")), "idf-floors"))
         return self._floors[0]
 
+    def totals(self) -> tuple[int | None, int | None]:
+        """(texts, those of the largest scope). Counted once per index."""
+        if not self._totals:
+            self._totals.append(tuple(self.stats.agg(F.sum("n"), F.max("n")).first()))
+        return self._totals[0]
+
     def save(self, folder: str) -> None:
         """Terms and statistics as tables: nothing is tokenised again when they are read."""
         self.texts.write.mode("overwrite").parquet(f"{folder}/texts")
@@ -61,7 +68,7 @@ class Index:
 
 
 def _only(postings: DataFrame, asked: DataFrame) -> DataFrame:
-    return postings.join(_small(asked), "term", "left_semi")
+    return postings.join(asked, "term", "left_semi")
 
 
 def _counting(tokens: Column) -> tuple[Column, Column, Column]:
@@ -122,10 +129,6 @@ def query_terms(queries: DataFrame, qid: str, text: str, tokens: Callable[[Colum
     return queries.select(qid, *more, F.explode(tokens(F.col(text))).alias("term")).groupBy(qid, *more, "term").agg(F.count("*").alias("qtf"))
 
 
-def _small(df: DataFrame, most: int = 200_000) -> DataFrame:
-    return F.broadcast(df) if is_small(df, most) else df
-
-
 def _idf(okapi: bool) -> Column:
     n, df = F.col("n"), F.col("df")
     if not okapi:
@@ -139,11 +142,12 @@ def _weighed(index: Index, asked: DataFrame, okapi: bool) -> DataFrame:
 
     Rows are dealt so that sums by text need no further shuffle: by scope if scopes are many and none is large
     (documents of their own), and then frequencies are counted where the rows lie; else by id, and frequencies of the
-    asked terms are a small table of their own.
+    asked terms are a table of their own. Query terms and frequencies are written tables, so Spark knows their size
+    and broadcasts them only below its threshold.
     """
     length = F.col("dl") if okapi else F.greatest(F.lit(1), F.col("dl"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length / F.col("avgdl")))
-    texts, largest = index.stats.agg(F.sum("n"), F.max("n")).first()
+    texts, largest = index.totals()
     if texts and largest * MANY_SCOPES < texts:
         whole, of_term = Window.partitionBy("scope"), Window.partitionBy("scope", "term")
         dealt = index.texts.repartition("scope").select("scope", "id", "dl", "terms", F.count("*").over(whole).alias("n"), F.avg("dl").over(whole).alias("avgdl"))
@@ -155,7 +159,7 @@ def _weighed(index: Index, asked: DataFrame, okapi: bool) -> DataFrame:
     df = index.frequencies(asked).join(index.stats, "scope")
     if okapi:
         df = df.join(index.floors(), "scope")
-    idf = _small(materialise(df.select("scope", "term", "avgdl", _idf(okapi).alias("idf")), "idf"))
+    idf = materialise(df.select("scope", "term", "avgdl", _idf(okapi).alias("idf")), "idf")
     dealt = index.texts.repartition("id").select("scope", "id", "dl", F.explode("terms").alias("t")).select("scope", "id", "dl", "t.term", "t.tf")
     return dealt.join(idf, ["scope", "term"]).select("scope", "id", "term", weight.alias("weight"))
 
@@ -165,7 +169,7 @@ def bm25_scores(index: Index, terms: DataFrame, qid: str, *more: str, okapi: boo
     a quarter of the mean idf of its scope."""
     terms = materialise(terms, "query-terms")
     weighed = _weighed(index, terms.select("term").distinct(), okapi)
-    return weighed.join(_small(terms), "term").groupBy(qid, *more, "scope", "id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    return weighed.join(terms, "term").groupBy(qid, *more, "scope", "id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
 def label_scores(index: Index, terms: DataFrame, qid: str, label: str = "label", okapi: bool = False) -> DataFrame:
@@ -177,7 +181,7 @@ def label_scores(index: Index, terms: DataFrame, qid: str, label: str = "label",
         return bm25_scores(index, terms, qid, label, okapi=okapi)
     weighed = _weighed(index, terms.select("term").distinct(), okapi)
     wide = terms.groupBy(qid, "term").agg(F.lit(0).alias("none"), *(F.sum(F.when(F.col(label) == n, F.col("qtf"))).alias(f"q{i}") for i, n in enumerate(names)))
-    sums = weighed.join(_small(wide), "term").groupBy(qid, "scope", "id").agg(F.count("*").alias("n"), *(F.sum(F.col(f"q{i}") * F.col("weight")).alias(f"s{i}") for i in range(len(names))))
+    sums = weighed.join(wide, "term").groupBy(qid, "scope", "id").agg(F.count("*").alias("n"), *(F.sum(F.col(f"q{i}") * F.col("weight")).alias(f"s{i}") for i in range(len(names))))
     each = F.array(*(F.struct(F.lit(n).alias("label"), F.col(f"s{i}").alias("score")) for i, n in enumerate(names))).cast("array<struct<label:string,score:double>>")
     return sums.select(qid, "scope", "id", F.explode(each).alias("e")).select(qid, F.col("e.label").alias(label), "scope", "id", F.col("e.score").alias("score")).where("score is not null")
 

@@ -127,8 +127,8 @@ def dense_hits(questions: DataFrame, units: DataFrame, method: Method, embed=ret
     ``embed`` makes a vector Column of a text Column; hashed word counts unless a model's is given.
     """
     table = S.option_queries(questions, method.stem_k, method.option_k, method.stem)
-    asked = table.select("qid", "label", "topk", embed(F.col("query")).alias("qvec")).join(questions.select("qid", "doc_ids"), "qid")
-    held = units.select("unit_id", "doc_id", embed(F.col("text")).alias("vec"))
+    asked = materialise(table.select("qid", "label", "topk", embed(F.col("query")).alias("qvec")).join(questions.select("qid", "doc_ids"), "qid"), "query-vectors")
+    held = materialise(units.select("unit_id", "doc_id", embed(F.col("text")).alias("vec")), "unit-vectors")
     # The question set is small and stated: every unit of its documents is compared with each query, in one pass.
     pairs = held.join(F.broadcast(asked) if is_small(asked) else asked, F.expr("size(doc_ids) = 0 or array_contains(doc_ids, doc_id)"))
     scored = pairs.select("qid", "label", "topk", "unit_id", "doc_id", F.round(retrieval.cosine(F.col("qvec"), F.col("vec")), 6).alias("score")).where("score > 0")
@@ -183,7 +183,9 @@ def evidence(questions: DataFrame, units: DataFrame, method: Method, vocabulary:
     if method.full_text:
         whole = S.full_text(units, "doc_id", "ord", "text")
         return questions.select("qid", F.explode("doc_ids").alias("doc_id")).join(whole, "doc_id").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "full_text"))), lambda x: x["full_text"]), "\n\n").alias("evidence"))
-    best = best_units(questions, units, method, vocabulary).join(units.select("unit_id", "section_id", "text", "unit_type"), "unit_id")
+    # Read twice below: written once.
+    found = materialise(best_units(questions, units, method, vocabulary), f"best-{method.name}")
+    best = found.join(units.select("unit_id", "section_id", "text", "unit_type"), "unit_id")
     near = retrieval.siblings(best.select("qid", "unit_id", "section_id"), units, method.siblings).groupBy("qid", "unit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.substring("text", 1, 220).alias("t")))), lambda x: x["t"]), "\n").alias("near"))
     block = T.render_fields([("doc", F.col("doc_id")), ("section", F.col("section_id")), ("text", F.col("text")), ("near", F.col("near"))], {"text": method.unit_chars})
     blocks = best.join(near, ["qid", "unit_id"], "left").withColumn("block", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]\n"), block))
