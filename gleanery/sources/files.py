@@ -49,10 +49,17 @@ def resolve_paths(wanted: DataFrame, files: DataFrame) -> DataFrame:
     attached = regulatory & ~strict & F.col("doc_id").contains("_att")
     page = regulatory & ~strict & ~attached & F.col("doc_id").startswith("csrc_")
     asked = wanted.withColumn("__want", F.when(strict, "txt").when(attached, "pdf").when(page, "html").when(~regulatory, "pdf")).withColumn("__prefix", strict)
-    fits = (F.col("file_type") == F.col("__want")) & F.when(F.col("__prefix"), F.col("name").startswith(F.col("doc_id"))).otherwise(F.col("stem") == F.col("doc_id"))
+    asked = asked.withColumn("__prefix", F.coalesce("__prefix", F.lit(False)))
+    held = files.select("path", "name", "stem", "file_type")
+    # Joined by equal keys throughout: a name that an id may begin has each of its beginnings as a key.
+    begins = F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.col("name").substr(F.lit(1), n))
+    longer = held.where(F.col("name").startswith("strict_v3_")).select("path", "file_type", F.explode(begins).alias("__key"))
+    named = held.select("path", "file_type", F.col("stem").alias("__key"))
+    fits = (F.col("doc_id") == F.col("__key")) & (F.col("file_type") == F.col("__want"))
+    found = asked.where("not __prefix").join(named, fits, "left").unionByName(asked.where("__prefix").join(longer, fits, "left"))
     upper = F.when(F.col("path").endswith(".PDF"), 0).otherwise(1)
     n = F.row_number().over(Window.partitionBy("domain", "doc_id").orderBy(upper, "path"))
-    return asked.join(files, fits, "left").withColumn("__n", n).where("__n = 1").select("doc_id", "domain", "path", F.coalesce("file_type", F.lit("unknown")).alias("file_type"))
+    return found.withColumn("__n", n).where("__n = 1").select("doc_id", "domain", "path", F.coalesce("file_type", F.lit("unknown")).alias("file_type"))
 
 
 def text_blocks(docs: DataFrame, header: str = TEXT_HEADER, shorter_than: int = 50) -> DataFrame:

@@ -9,3 +9,16 @@ def test_one_number_in_many_chunks_and_queries(spark):
     assert set(held) == {q for q in range(20_000) if q % 2 == 0 or q < 20}
     assert held[0] == held[19_998] == [("1", 4, 4), ("1", 4, 64), ("7", 4, 4), ("7", 4, 24)]
     assert held[1] == [("1", 0, 40), ("1", 0, 100), ("7", 0, 0), ("7", 0, 20)]
+
+
+def test_paths_by_equal_keys(spark):
+    wanted = spark.createDataFrame([("a", "research"), ("a", None), ("strict_v3_x", "regulatory"), ("strict_v3_none", "regulatory"), ("csrc_1", "regulatory"), ("n_att", "regulatory"), (None, "research")], "doc_id string, domain string")
+    names = ["a.pdf", "a.PDF", "strict_v3_xy.txt", "strict_v3_x.txt", "strict_v3_x.pdf", "csrc_1.html", "csrc_1.pdf", "n_att.pdf"]
+    kinds = {"pdf": "pdf", "txt": "txt", "html": "html"}
+    held = spark.createDataFrame([(f"/d/{n}", n, n.rsplit(".", 1)[0], kinds[n.rsplit(".", 1)[1].lower()]) for n in names], "path string, name string, stem string, file_type string")
+    got = files.resolve_paths(wanted, held)
+    assert not all_pairs(got)
+    assert {(r["doc_id"], r["domain"]): r["path"] for r in got.collect()} == {
+        ("a", "research"): "/d/a.PDF", ("a", None): None, ("strict_v3_x", "regulatory"): "/d/strict_v3_x.txt", ("strict_v3_none", "regulatory"): None,
+        ("csrc_1", "regulatory"): "/d/csrc_1.html", ("n_att", "regulatory"): "/d/n_att.pdf", (None, "research"): None,
+    }
