@@ -90,14 +90,6 @@ def term_stats(spark: SparkSession, d: str) -> DataFrame:
 UNIT_INDEX = "SELECT unit_id AS id, text, doc_id FROM units"
 
 
-def unit_hits(spark: SparkSession, d: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(units, best hits of each document's own index with the documents' best overall)."""
-    units = I.units(spark, d)
-    index = bm25.shared_index(units, "unit_id", "text", scope=F.col("doc_id"))
-    scored = bm25.bm25_scores(index, bm25.query_terms(_items(spark, d), "qid", "text"), "qid").withColumn("score", F.round("score", 4)).where("score > 0")
-    return units, scored.withColumnRenamed("scope", "doc_id")
-
-
 @query(bm25_sql(UNIT_INDEX, ITEMS, scope="doc_id", tail=""",
 r AS (SELECT qid, scope AS doc_id, id, round(score, 4) AS score FROM scored WHERE round(score, 4) > 0),
 n AS (SELECT qid, count(DISTINCT doc_id) AS n FROM r GROUP BY qid),
@@ -105,9 +97,9 @@ a AS (SELECT r.*, n, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score
 SELECT qid, doc_id, id AS unit_id, score, doc_rank, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, id) AS rank FROM a WHERE doc_rank <= greatest(3, 10 // n)) WHERE rank <= 10""").replace("WITH d AS", "WITH " + I.UNITS_CTE + ", d AS", 1))
 def two_level_topk(spark: SparkSession, d: str) -> DataFrame:
-    _, scored = unit_hits(spark, d)
-    best = bm25.two_level_top_k(scored, "qid", "doc_id", 10, "id")
-    return best.select("qid", "doc_id", F.col("id").alias("unit_id"), "score", "doc_rank", "rank")
+    index = bm25.shared_index(I.units(spark, d), "unit_id", "text", scope=F.col("doc_id"))
+    best = bm25.two_level_best(index, bm25.query_terms(_items(spark, d), "qid", "text"), "qid", 10)
+    return best.select("qid", F.col("scope").alias("doc_id"), F.col("id").alias("unit_id"), "score", "doc_rank", "rank")
 
 
 def _cosine_sql(k: int) -> str:
