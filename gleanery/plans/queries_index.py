@@ -158,8 +158,7 @@ def option_hits(spark: SparkSession, d: str) -> DataFrame:
     """Ten best documents of the stem and of every option: (qid, label, id, score)."""
     index = bm25.shared_index(table(spark, d, "documents"), "doc_id", "text")
     terms = bm25.query_terms(S.option_queries(I.questions(spark, d)), "qid", "query", T.simple_tokens, "label")
-    scored = bm25.label_scores(index, terms, "qid").where("score > 0").withColumn("score", F.round("score", 4))
-    return bm25.top_k(scored, ["qid", "label"], 10, "id")
+    return bm25.ranked(index, terms, "qid", 10, "label").select("qid", "label", "id", "score", "rank")
 
 
 @query(OPTION_HITS + " SELECT * FROM merged")
