@@ -45,38 +45,37 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def _ranked(scored: DataFrame, k: int = 5) -> DataFrame:
-    rows = scored.where("score > 0").withColumn("score", F.round("score", 4))
-    return bm25.top_k(rows, ["qid"], k, "id").select("qid", F.col("id").alias("doc_id"), "score", "rank")
+def _ranked(index: bm25.Index, items: DataFrame, k: int = 5, okapi: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+    best = bm25.ranked(index, bm25.query_terms(items, "qid", "text"), "qid", k, okapi=okapi, allowed=allowed)
+    return best.select("qid", F.col("id").alias("doc_id"), "score", "rank")
 
 
 @query(bm25_sql(DOCS, ITEMS, tail=TOP5))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     index = bm25.shared_index(table(spark, d, "documents"), "doc_id", "text")
-    return _ranked(bm25.bm25_scores(index, bm25.query_terms(_items(spark, d), "qid", "text"), "qid"))
+    return _ranked(index, _items(spark, d))
 
 
 @query(bm25_sql(DOCS, ITEMS, tail=TOP5, okapi=True))
 def bm25_okapi_topk(spark: SparkSession, d: str) -> DataFrame:
     index = bm25.shared_index(table(spark, d, "documents"), "doc_id", "text")
-    return _ranked(bm25.bm25_scores(index, bm25.query_terms(_items(spark, d), "qid", "text"), "qid", okapi=True))
+    return _ranked(index, _items(spark, d), okapi=True)
 
 
 @query(bm25_sql("SELECT doc_id AS id, text, lang FROM documents", ITEMS, scope="lang", tail=TOP5))
 def bm25_domain_scope(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of each domain on its own."""
     index = bm25.shared_index(table(spark, d, "documents"), "doc_id", "text", scope=F.col("lang"))
-    return _ranked(bm25.bm25_scores(index, bm25.query_terms(_items(spark, d), "qid", "text"), "qid"))
+    return _ranked(index, _items(spark, d))
 
 
 @query(bm25_sql(DOCS, ITEMS, tail=""", hit AS (SELECT s.* FROM scored s JOIN documents d ON d.doc_id = s.id WHERE d.lang = 'en')
 SELECT qid, id AS doc_id, score, rank FROM (SELECT qid, id, round(score, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 4) DESC, id) AS rank FROM hit WHERE score > 0) WHERE rank <= 5"""))
 def bm25_hard_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Allowed documents are cut out after scoring, so statistics stay those of the corpus."""
+    """Only allowed documents are ranked after scoring, so statistics stay those of the corpus."""
     docs = table(spark, d, "documents")
-    scored = bm25.bm25_scores(bm25.shared_index(docs, "doc_id", "text"), bm25.query_terms(_items(spark, d), "qid", "text"), "qid")
     allowed = docs.where("lang = 'en'").select(F.col("doc_id").alias("id"))
-    return _ranked(scored.join(allowed, "id", "left_semi"))
+    return _ranked(bm25.shared_index(docs, "doc_id", "text"), _items(spark, d), allowed=allowed)
 
 
 @query(rf"""

@@ -165,8 +165,7 @@ def item_proxy_recall(spark: SparkSession, d: str) -> DataFrame:
     """Which of the best documents cover a question's terms: number and first rank."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
     docs = table(spark, d, "documents")
-    scored = bm25.bm25_scores(bm25.shared_index(docs, "doc_id", "text"), bm25.query_terms(items, "qid", "text"), "qid").withColumn("score", F.round("score", 4)).where("score > 0")
-    top = bm25.top_k(scored, ["qid"], 5, "id")
+    top = bm25.ranked(bm25.shared_index(docs, "doc_id", "text"), bm25.query_terms(items, "qid", "text"), "qid", 5)
     rows = top.join(docs.select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("evidence")), "id").join(items, "qid")
     share, _ = T.proxy_coverage(T.proxy_terms(F.col("text"), F.col("lang"), LATIN.proxy_terms, []), F.col("evidence"))
     return evaluation.item_hits(rows.select("qid", "rank", (share >= 0.5).alias("hit")))
