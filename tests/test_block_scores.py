@@ -55,3 +55,42 @@ def test_too_many_terms_go_by_joins(made, monkeypatch):
     monkeypatch.setattr(bm25, "MOST_TERMS", 1)
     assert bm25.best(index, terms, "qid", 3, "label") is None
     assert shown(bm25.ranked(index, terms, "qid", 3, "label"), "qid", "label", "id", "score", "rank") == want
+
+
+def test_boost_by_marks(spark, sf):
+    from gleanery.functions.vocab import LATIN
+    from gleanery.operators import scoring
+    from gleanery.plans import queries_search as Q
+
+    units = Q.turns(spark, sf).select(F.col("unit_id").alias("id"), "text", "name", "path", "unit_type")
+    asked = Q.asked(spark, sf)
+    base, weights = scoring.boost_marks(asked, ["qid"], "query", units, LATIN)
+    added = base.select("id", F.explode("marks").alias("mark")).join(weights, "mark").groupBy("qid", "id").agg(F.sum("weight").alias("w"))
+    boost = scoring.domain_boost(F.col("query"), F.col("text"), F.col("name"), F.col("path"), F.col("unit_type"), LATIN) + scoring.word_bonus(F.col("query"), F.col("text"))
+    pairs = units.crossJoin(asked).select("qid", "id", boost.alias("want")).join(base, "id").join(added, ["qid", "id"], "left")
+    off = pairs.where("abs(want - base - coalesce(w, 0)) > 1e-9")
+    assert pairs.where("w > 0").count() > 0 and off.count() == 0
+
+
+def test_hits_of_methods_as_by_joins(spark, sf, monkeypatch):
+    from gleanery.functions.vocab import LATIN
+    from gleanery.plans import queries_runs
+    from gleanery.plans.methods import METHODS, hits
+
+    questions, units = queries_runs.asked(spark, sf)
+    questions = questions.withColumn("doc_ids", F.when(F.col("qid").endswith("3"), F.array(F.lit(1), F.lit(5)).cast("array<bigint>")).otherwise(F.col("doc_ids")))
+    for name in ("m02", "m05"):
+        got = shown(hits(questions, units, METHODS[name], vocabulary=LATIN), "qid", "label", "unit_id", "doc_id", "score")
+        with monkeypatch.context() as patch:
+            patch.setattr(bm25, "MOST_TERMS", 0)
+            want = shown(hits(questions, units, METHODS[name], vocabulary=LATIN), "qid", "label", "unit_id", "doc_id", "score")
+        assert got == want and any(r[0].endswith("3") for r in got)
+
+
+def test_hashed_vector_counts_words(spark):
+    from gleanery.operators.retrieval import hashed_vector
+
+    rows = spark.createDataFrame([("a b a c7 12.5%",), ("",), (None,)], "text string").select(hashed_vector(F.col("text")).alias("v"), hashed_vector(F.col("text"), 1).alias("one")).collect()
+    assert [sum(r["v"]) for r in rows] == [5, 0, 0] and [r["one"] for r in rows] == [[5], [0], [0]] and {len(r["v"]) for r in rows} == {64}
+    place = spark.sql("SELECT pmod(xxhash64('a'), 64)").first()[0]
+    assert rows[0]["v"][place] >= 2
