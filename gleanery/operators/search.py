@@ -27,10 +27,15 @@ def simple_search(queries: DataFrame, units: DataFrame, k: int, vocabulary: Voca
     domain boost and 0.6 for every distinct word or number of the query that the unit holds; (qid, unit_id, score, rank)."""
     grown = queries.withColumn("grown", F.concat_ws(" ", "query", F.array_join(T.expand_aliases(F.col("query"), vocabulary.metrics), " ")))
     index = bm25.shared_index(units, "unit_id", "text")
-    scored = bm25.bm25_scores(index, bm25.query_terms(grown, "qid", "grown"), "qid").where("score > 0")
     about = of_kinds(units, allow, deny)
     optional = lambda c: F.col(c) if c in units.columns else F.lit(None).cast("string")
     about = about.select(F.col("unit_id").alias("id"), "text", "unit_type", optional("name").alias("name"), F.coalesce(optional("path"), F.lit("")).alias("path"))
+    terms = bm25.query_terms(grown, "qid", "grown")
+    parts = scoring.boost_marks(grown, ["qid"], "grown", about, vocabulary)
+    best = bm25.best(index, terms, "qid", k, extra=bm25.Extra(*parts)) if parts is not None else None
+    if best is not None:
+        return best.select("qid", F.col("id").alias("unit_id"), "score", "rank")
+    scored = bm25.bm25_scores(index, terms, "qid").where("score > 0")
     joined = scored.join(about, "id").join(grown.select("qid", "grown"), "qid")
     boost = scoring.domain_boost(F.col("grown"), F.col("text"), F.col("name"), F.col("path"), F.col("unit_type"), vocabulary)
     total = joined.withColumn("score", F.round(F.col("score") + boost + scoring.word_bonus(F.col("grown"), F.col("text")), 4))
