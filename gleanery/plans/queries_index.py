@@ -266,7 +266,13 @@ d AS (SELECT doc_id AS id, unnest(list_distinct({TOK.format('text')})) AS term F
 SELECT qid, id, score, rank FROM (SELECT qid, id, count(*) AS score, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, id) AS rank FROM q JOIN d USING (term) GROUP BY qid, id) WHERE rank <= 5""")
 def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
     asked = _items(spark, d).select("qid", F.array_distinct(T.simple_tokens(F.col("text"))).alias("terms"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(T.simple_tokens(F.col("text"))).alias("terms"))
+    # The index holds each text's distinct terms.
+    index = bm25.shared_index(table(spark, d, "documents"), "doc_id", "text")
+    terms = asked.select("qid", F.explode("terms").alias("term"), F.lit(1).cast("bigint").alias("qtf"))
+    best = bm25.best(index, terms, "qid", 5, plain=True)
+    if best is not None:
+        return best.select("qid", "id", F.col("score").cast("bigint").alias("score"), "rank")
+    docs = index.texts.select("id", F.transform("terms", lambda t: t["term"]).alias("terms"))
     return retrieval.overlap_top_k(asked, docs, 5)
 
 
